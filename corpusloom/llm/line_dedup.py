@@ -94,12 +94,13 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
         runs.add(batch.select(F.explode(F.array_distinct("keys")).alias("k")).where("k is not null").select("k.h", "k.g"))
     common = written(runs.all_common())
 
-    # texts that are equal lose the same lines, so (t, l) stands for a text; a join, as the common lines may be many
-    per_text = hashed.select("t", "l", F.posexplode("keys").alias("pos", "k")).where("k is not null").select("t", "l", "pos", "k.h", "k.g")
-    lost = per_text.join(common, KEY, "left_semi").groupBy("t", "l").agg(F.collect_set("pos").alias("lost"))
+    # a row is known by doc_id and its text's hash and length: rows that share all three lose the same lines
+    per_text = hashed.select("doc_id", "t", "l", F.posexplode("keys").alias("pos", "k")).where("k is not null").select("doc_id", "t", "l", "pos", "k.h", "k.g")
+    lost = per_text.join(common, KEY, "left_semi").groupBy("doc_id", "t", "l").agg(F.collect_set("pos").alias("_lost"))
     own = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     rows = docs.select(*own, "text", F.xxhash64("text").alias("_t"), F.coalesce(F.char_length("text"), F.lit(-1)).alias("_l"))
-    rows = rows.join(lost.withColumnsRenamed({"t": "_t", "l": "_l", "lost": "_lost"}), ["_t", "_l"], "left")
+    lost = lost.withColumnRenamed("doc_id", "_d")
+    rows = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("t")) & (F.col("_l") == F.col("l")), "left")
     lines = lines_of(F.col("text"))
     kept = F.filter(lines, lambda line, i: ~F.array_contains("_lost", i))
     return rows.select(
