@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import line_dedup, mixing
+from corpusloom.llm import byte_bpe, language_id, line_dedup, mixing
 
 
 def queries() -> dict:
     return {
+        "op2_language_id": language_id.op2_language_id,
         "op6_line_dedup": line_dedup.op6_line_dedup,
+        "op7_byte_bpe": byte_bpe.op7_byte_bpe,
         "op10_source_mix": mixing.op10_source_mix,
     }
 

@@ -55,3 +55,43 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def in_batches(df: DataFrame, function, schema: str, rows: int = 1000) -> DataFrame:
+    """mapInArrow with batches of so many rows at most, so that a worker holds few long texts at once.
+
+    function takes a pyarrow.RecordBatch and yields lists of columns in the order of schema."""
+    import pyarrow as pa
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        for batch in batches:
+            for columns in function(batch):
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
+class Memo(dict):
+    """A bounded cache over a function: two generations, of which the older goes when the younger is full."""
+
+    def __init__(self, function, size: int):
+        super().__init__()
+        self.function, self.size, self.old = function, size, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.function(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
