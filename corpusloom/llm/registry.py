@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import byte_bpe, language_id, line_dedup, mixing, quality_fm
+from corpusloom.llm import byte_bpe, fingerprints, language_id, line_dedup, mixing, quality_fm
 
 
 def queries() -> dict:
     return {
         "op1_quality_fm": quality_fm.op1_quality_fm,
         "op2_language_id": language_id.op2_language_id,
+        "op4_fingerprints": fingerprints.op4_fingerprints,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_byte_bpe": byte_bpe.op7_byte_bpe,
         "op10_source_mix": mixing.op10_source_mix,
