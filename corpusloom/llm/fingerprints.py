@@ -28,7 +28,7 @@ NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 def sketches(texts: list[str | None], bins: int = BINS, kept: int = KEPT) -> list[bytes]:
     """The packed fingerprint of each text."""
-    hashes = [shingle_hashes(t) for t in texts]
+    hashes = shingle_hashes(texts)
     table = np.full(len(texts) * bins, NONE, np.uint64)
     if not texts:
         return []
