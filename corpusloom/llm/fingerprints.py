@@ -46,7 +46,8 @@ def sketches(texts: list[str | None], bins: int = BINS, kept: int = KEPT) -> lis
         hit = full[rows, probe]
         table[rows[hit], cols[hit]] = table[rows[hit], probe[hit]]
         rows, cols, at = rows[~hit], cols[~hit], at + 1
-    low = (mixed(table) & np.uint64((1 << kept) - 1)).astype(np.uint8)
+    # the kept bits depend on the bin too: a value copied into many bins agrees with another by chance in few of them only
+    low = (mixed(table + np.arange(bins, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64((1 << kept) - 1)).astype(np.uint8)
     bits = np.unpackbits(low.reshape(len(texts), bins, 1), axis=2)[:, :, 8 - kept :].reshape(len(texts), -1)
     packed = np.packbits(bits, 1)
     return [packed[i].tobytes() if some[i] else b"" for i in range(len(texts))]
