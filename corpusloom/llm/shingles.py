@@ -91,4 +91,8 @@ def shingle_hashes(texts: list[str | None], k: int = SHINGLE_WORDS) -> list[np.n
 
 def shingle_sets(texts: list[str | None], k: int = SHINGLE_WORDS) -> list[np.ndarray]:
     """The same as sorted arrays without repeats."""
-    return [np.unique(h) for h in shingle_hashes(texts, k)]
+    out = []
+    for h in shingle_hashes(texts, k):
+        h = np.sort(h)
+        out.append(h[np.r_[True, h[1:] != h[:-1]]] if len(h) else h)
+    return out

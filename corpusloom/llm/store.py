@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import reduce
@@ -45,6 +46,12 @@ def forget(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files that no live DataFrame needs; else they stay until the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def lower_az(c):
     return F.translate(c, UPPER, UPPER.lower())
 
