@@ -14,6 +14,7 @@ hash of the text decides. A single document is its own next one. An empty table
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -23,34 +24,74 @@ from corpusloom.llm.shingles import mixed, shingle_hashes
 from corpusloom.llm.store import in_batches, read
 
 BINS, KEPT = 512, 4
+#: Draws that are made for all texts together, before the rest goes by a table of first draws.
+ATTEMPTS = 24
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def sketches(texts: list[str | None], bins: int = BINS, kept: int = KEPT) -> list[bytes]:
-    """The packed fingerprint of each text."""
+@lru_cache(maxsize=256)
+def _probe(attempt: int, bins: int) -> np.ndarray:
+    """The bin that each bin draws at an attempt."""
+    return (mixed(np.arange(bins, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(attempt * 2 + 1)) % np.uint64(bins)).astype(np.int64)
+
+
+@lru_cache(maxsize=4)
+def _first_draw(bins: int) -> np.ndarray:
+    """By bin: the first attempt that draws each other bin."""
+    first, at, all_bins = np.full((bins, bins), -1), 0, np.arange(bins)
+    while (first < 0).any():
+        probe = _probe.__wrapped__(at, bins)
+        new = first[all_bins, probe] < 0
+        first[all_bins[new], probe[new]] = at
+        at += 1
+    return first
+
+
+def low_bits(texts: list[str | None], bins: int = BINS, kept: int = KEPT) -> tuple[np.ndarray, np.ndarray]:
+    """The kept bits of each bin, a row for each text, and which texts have a shingle at all."""
     hashes = shingle_hashes(texts)
-    table = np.full(len(texts) * bins, NONE, np.uint64)
-    if not texts:
-        return []
-    every = np.concatenate(hashes)
+    every = np.concatenate([*hashes, np.empty(0, np.uint64)])
     doc = np.repeat(np.arange(len(texts)), [len(h) for h in hashes])
     shift = np.uint64(64 - bins.bit_length() + 1)
+    table = np.full(len(texts) * bins, NONE, np.uint64)
     np.minimum.at(table, doc * bins + (every >> shift).astype(np.int64), every)
     table = table.reshape(len(texts), bins)
     full = table != NONE
     some = full.any(1)
     rows, cols = np.nonzero(~full & some[:, None])
-    at = 0
-    while rows.size:  # optimal densification
-        probe = (mixed(cols.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(at * 2 + 1)) % np.uint64(bins)).astype(np.int64)
+    for at in range(ATTEMPTS):  # optimal densification
+        probe = _probe(at, bins)[cols]
         hit = full[rows, probe]
         table[rows[hit], cols[hit]] = table[rows[hit], probe[hit]]
-        rows, cols, at = rows[~hit], cols[~hit], at + 1
+        rows, cols = rows[~hit], cols[~hit]
+    if rows.size:  # few full bins: the one that each empty bin would draw first
+        first, edge = _first_draw(bins), np.flatnonzero(np.diff(rows, prepend=-1, append=-1))
+        for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            own, there = rows[a], np.flatnonzero(full[rows[a]])
+            table[own, cols[a:z]] = table[own, there[first[cols[a:z]][:, there].argmin(1)]]
     # the kept bits depend on the bin too: a value copied into many bins agrees with another by chance in few of them only
-    low = (mixed(table + np.arange(bins, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64((1 << kept) - 1)).astype(np.uint8)
-    bits = np.unpackbits(low.reshape(len(texts), bins, 1), axis=2)[:, :, 8 - kept :].reshape(len(texts), -1)
-    packed = np.packbits(bits, 1)
-    return [packed[i].tobytes() if some[i] else b"" for i in range(len(texts))]
+    return (mixed(table + np.arange(bins, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64((1 << kept) - 1)).astype(np.uint8), some
+
+
+def packed(low: np.ndarray, some: np.ndarray, kept: int = KEPT) -> list[bytes]:
+    """The kept bits without gaps: the stored fingerprints."""
+    if not len(low):
+        return []
+    bits = np.unpackbits(low[:, :, None], axis=2)[:, :, 8 - kept :].reshape(len(low), -1)
+    rows = np.packbits(bits, 1)
+    return [rows[i].tobytes() if some[i] else b"" for i in range(len(low))]
+
+
+def sketches(texts: list[str | None], bins: int = BINS, kept: int = KEPT) -> list[bytes]:
+    """The packed fingerprint of each text."""
+    return packed(*low_bits(texts, bins, kept), kept)
+
+
+def likenesses(a: np.ndarray, some_a: np.ndarray, b: np.ndarray, some_b: np.ndarray, kept: int = KEPT) -> np.ndarray:
+    """Of rows of kept bits: the share of equal bins, corrected for those that agree by chance."""
+    chance = 2.0**-kept
+    found = np.clip(((a == b).mean(1) - chance) / (1 - chance), 0, 1)
+    return np.where(some_a & some_b, found, (some_a == some_b).astype(float))
 
 
 def likeness(a: bytes, b: bytes, bins: int = BINS, kept: int = KEPT) -> float:
@@ -133,26 +174,28 @@ def _stream(rows: DataFrame, bins: int, kept: int, schema: str) -> DataFrame:
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def close(waiting, following):
-        """Rows of a document (doc_id, text, sketch) whose next one is known, as result columns."""
+        """Rows of documents (doc_id, text, bits, some, fingerprint, rows) whose next ones are known, as result columns."""
         texts = [edited(d[1], f[1]) for d, f in zip(waiting, following, strict=True)]
-        prints = sketches(texts, bins, kept)
-        out = []
-        for d, f, t, p in zip(waiting, following, texts, prints, strict=True):
-            row = (d[0], len(d[1]), hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest(), d[2].hex(), p.hex(), likeness(d[2], p, bins, kept), likeness(d[2], f[2], bins, kept))
-            out += [row] * d[3]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+        low, some = low_bits(texts, bins, kept)
+        own, after = (tuple(np.stack([d[k] for d in docs]) for k in (2, 3)) for docs in (waiting, following))
+        near_edited, near_next = likenesses(*own, low, some, kept), likenesses(*own, *after, kept)
+        shas = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
+        out = [[d[0] for d in waiting], [len(d[1]) for d in waiting], shas, [d[4] for d in waiting], [p.hex() for p in packed(low, some, kept)], near_edited, near_next]
+        again = np.repeat(np.arange(len(waiting)), [d[5] for d in waiting])
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type).take(pa.array(again)) for c, f in zip(out, arrow, strict=True)], schema=arrow)
 
     def run(batches):
-        last = None  # a document whose next one has not come yet: bucket, guest, [doc_id, text, sketch, rows]
+        last = None  # a document whose next one has not come yet: bucket, guest, [doc_id, text, bits, some, fingerprint, rows]
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("doc_id", "text", "bucket", "guest")]
-            prints = sketches(cols[1], bins, kept)
+            low, some = low_bits(cols[1], bins, kept)
+            prints = [p.hex() for p in packed(low, some, kept)]
             waiting, following = [], []
-            for doc_id, text, bucket, guest, p in zip(*cols, prints, strict=True):
+            for i, (doc_id, text, bucket, guest) in enumerate(zip(*cols, strict=True)):
                 if last and last[0] == bucket and last[1] == guest and last[2][0] == doc_id and last[2][1] == text:
-                    last[2][3] += 1
+                    last[2][5] += 1
                     continue
-                now = (bucket, guest, [doc_id, text, p, 1])
+                now = (bucket, guest, [doc_id, text, low[i], some[i], prints[i], 1])
                 if last and not last[1] and last[0] == bucket:
                     waiting.append(last[2])
                     following.append(now[2])
