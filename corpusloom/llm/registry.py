@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import byte_bpe, fingerprints, jaccard_join, language_id, line_dedup, mixing, quality_fm
+from corpusloom.llm import byte_bpe, fingerprints, jaccard_join, language_id, line_dedup, mixing, quality_fm, token_counts
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_fingerprints": fingerprints.op4_fingerprints,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_byte_bpe": byte_bpe.op7_byte_bpe,
+        "op8_token_counts": token_counts.op8_token_counts,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_source_mix": mixing.op10_source_mix,
     }
