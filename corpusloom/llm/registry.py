@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import byte_bpe, fingerprints, jaccard_join, language_id, line_dedup, mixing, quality_fm, token_counts
+from corpusloom.llm import byte_bpe, fingerprints, jaccard_join, language_id, line_dedup, media, mixing, quality_fm, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_quality_fm": quality_fm.op1_quality_fm,
         "op2_language_id": language_id.op2_language_id,
         "op4_fingerprints": fingerprints.op4_fingerprints,
+        "op5_webp_media": media.op5_webp_media,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_byte_bpe": byte_bpe.op7_byte_bpe,
         "op8_token_counts": token_counts.op8_token_counts,
