@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import byte_bpe, fingerprints, jaccard_join, language_id, line_dedup, media, mixing, quality_fm, token_counts
+from corpusloom.llm import byte_bpe, fingerprints, jaccard_join, language_id, line_dedup, media, mixing, quality_fm, substring_dedup, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_quality_fm": quality_fm.op1_quality_fm,
         "op2_language_id": language_id.op2_language_id,
+        "op3_suffix_dedup": substring_dedup.op3_suffix_dedup,
         "op4_fingerprints": fingerprints.op4_fingerprints,
         "op5_webp_media": media.op5_webp_media,
         "op6_line_dedup": line_dedup.op6_line_dedup,
