@@ -217,25 +217,25 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: int = STEPS) -
     return model
 
 
-def identify(docs: DataFrame, model: ByteGru | None) -> DataFrame:
-    """docs' columns but text, then lang_pred, score (the pooled probability of lang_pred) and positions, the number of
-    bytes that bear each language's label."""
-    own = [f for f in docs.schema.fields if f.name not in ("text", "lang_pred", "score", "positions")]
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(*(f.name for f in own), F.when(letters, F.col("text")).alias("text"))
+def identify(docs: DataFrame, model: ByteGru | None, keep_text: bool = False) -> DataFrame:
+    """docs' columns, with text only if asked for, then lang_pred, score (the pooled probability of lang_pred) and positions,
+    the number of bytes that bear each language's label."""
+    own = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "positions", *["text"] * (not keep_text))]
+    names = [f.name for f in own]
+    rows = docs.select(*names, F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("_lettered"))
     if model is None:
-        return rows.select(*(f.name for f in own), F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.create_map().cast("map<string,bigint>").alias("positions"))
+        return rows.select(*names, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.create_map().cast("map<string,bigint>").alias("positions"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by HIDDEN and the number of languages
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), "lang_pred string, score double, positions map<string,bigint>"])
 
     def run(batch):
         m = shared.value
-        texts = [x.encode() if x is not None else b"" for x in batch.column("text").to_pylist()]
+        texts = [x.encode() if x is not None else b"" for x in batch.column("_lettered").to_pylist()]
         total, labelled = m.pooled(texts)
         n = np.maximum([len(t) for t in texts], 1)
         best = total.argmax(1)
         yield [
-            *(batch.column(f.name) for f in own),
+            *(batch.column(n) for n in names),
             [m.langs[b] if t else UND for b, t in zip(best.tolist(), texts, strict=True)],
             [min(1.0, s) if t else 0.0 for s, t in zip((total.max(1) / n).tolist(), texts, strict=True)],
             [list(zip(m.langs, c, strict=True)) if t else [] for c, t in zip(labelled.tolist(), texts, strict=True)],

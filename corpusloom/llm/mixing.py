@@ -179,7 +179,10 @@ def mix(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
     rows = docs.select(*own, word_count("text").alias("_size"))
     rows = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
     rows = rows.withColumn("_order", F.xxhash64(F.lit(seed + 4), "doc_id", "_copy"))
-    return rows.repartitionByRange(shards, "shard", "_order").sortWithinPartitions("shard", "_order").select(*own, "shard")
+    # a shard is several partitions, so that it can be larger than one task
+    each = -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+    rows = rows.withColumn("_part", (F.col("shard") * each + F.pmod(F.col("_order"), F.lit(each))).cast("int"))
+    return rows.repartitionById(shards * each, "_part").sortWithinPartitions("shard", "_order").select(*own, "shard")
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
