@@ -31,7 +31,7 @@ from corpusloom.llm.store import forget, in_batches, read, release, shared_dir,
 
 LENGTH, SUFFIX = 50, 16
 BATCHES = 4
-FLUSH = 1_000_000
+FLUSH = 200_000
 CHUNK = (1 << 20) - 256
 _BASE = 0xD1342543DE82EF95
 _VALUE = np.random.default_rng(50).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
