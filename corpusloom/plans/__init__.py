@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("text_scalars", "mining")
+MODULES: tuple[str, ...] = ("text_scalars", "mining", "takes")
 
 
 def load() -> None:
