@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as D
 
 WORD_CHARS = r"\p{L}\p{N}_"
 BLANKS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -113,7 +114,7 @@ def outside(c, allowed: str = ALLOWED) -> Column:
 def normal_form(form: str):
     """NFC or NFKC, for which Spark has no function."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(D.StringType())
     def apply(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else unicodedata.normalize(form, t))
 
@@ -178,7 +179,7 @@ def padded_id(prefix, n) -> Column:
     return F.format_string("%s_%05d", col(prefix), col(n))
 
 
-@F.pandas_udf("array<struct<n_vowels:int,stressed:int>>")
+@F.pandas_udf(D.ArrayType(D.StructType([D.StructField("n_vowels", D.IntegerType()), D.StructField("stressed", D.IntegerType())])))
 def phoneme_words(s: pd.Series) -> pd.Series:
     """Phoneme strings as words: vowels and the place of the stressed one (-1: none). A long mark extends a vowel."""
     vowels = set("aeiouyæøœɐɑɒɔəɛɜɪɯʊʌʏ" + VOWELS)

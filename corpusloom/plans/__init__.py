@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("text_scalars", "mining", "takes")
+MODULES: tuple[str, ...] = ("text_scalars", "mining", "takes", "errors")
 
 
 def load() -> None:
