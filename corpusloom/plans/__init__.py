@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("text_scalars", "mining", "takes", "errors")
+MODULES: tuple[str, ...] = ("text_scalars", "mining", "takes", "errors", "series")
 
 
 def load() -> None:
