@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("text_scalars", "mining", "takes", "errors", "series")
+MODULES: tuple[str, ...] = ("text_scalars", "mining", "takes", "errors", "series", "rewriting", "records")
 
 
 def load() -> None:
