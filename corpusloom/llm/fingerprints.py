@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.shingles import mixed, shingle_hashes
-from corpusloom.llm.store import in_batches, read
+from corpusloom.llm.store import cut_points, in_batches, read
 
 BINS, KEPT = 512, 4
 #: Draws that are made for all texts together, before the rest goes by a table of first draws.
@@ -146,8 +146,8 @@ def with_edits(docs: DataFrame, bins: int = BINS, kept: int = KEPT) -> DataFrame
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(docs.dtypes)["doc_id"]
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cuts = docs.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], max(1e-5, 1 / (8 * n))) if n > 1 else []
-    docs = docs.withColumn("bucket", _bucket(sorted(set(cuts)))).withColumn("h", F.xxhash64("text"))
+    cuts = cut_points(docs, "doc_id", n, max(1e-5, 1 / (8 * n)))
+    docs = docs.withColumn("bucket", _bucket(cuts)).withColumn("h", F.xxhash64("text"))
     # the first row of each range; there are at most n of them
     first = docs.groupBy("bucket").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("real"), "doc_id", (-F.col("h").cast("decimal(20,0)")).alias("m"))).alias("f")).select("bucket", "f.doc_id", "f.m").collect()
     first.sort(key=lambda r: r.bucket)

@@ -102,3 +102,11 @@ class Memo(dict):
             self.clear()
         self[key] = value
         return value
+
+
+def cut_points(df: DataFrame, column: str, parts: int, error: float) -> list[float]:
+    """Values that part a column into about equal ranges; none for a table without values."""
+    df = df.where(F.col(column).isNotNull()).select(column)
+    if parts < 2 or df.isEmpty():
+        return []
+    return sorted(set(df.approxQuantile(column, [i / parts for i in range(1, parts)], error)))

@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.shingles import mixed
-from corpusloom.llm.store import forget, in_batches, read, release, shared_dir, union_all, written
+from corpusloom.llm.store import cut_points, forget, in_batches, read, release, shared_dir, union_all, written
 
 LENGTH, SUFFIX = 50, 16
 BATCHES = 4
-FLUSH = 200_000
+FLUSH = 100_000
 CHUNK = (1 << 20) - 256
 _BASE = 0xD1342543DE82EF95
 _VALUE = np.random.default_rng(50).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -306,7 +306,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     docs = docs.withColumn("tag", tag)
     known = docs.where("doc_id is not null")
     bits = int(np.clip(np.ceil(np.log2(max(1, docs.count()) / 200)), 4, 16))
-    cuts = sorted(set(known.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.001)))
+    cuts = cut_points(known, "doc_id", batches, 0.001)
     index = SuffixIndex(spark, bits, length)
     for i in range(len(cuts) + 1):
         batch = known if not cuts else known.where((F.col("doc_id") > cuts[i - 1] if i else F.lit(True)) & (F.col("doc_id") <= cuts[i] if i < len(cuts) else F.lit(True)))
