@@ -172,17 +172,16 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int =
 
 
 def mix(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
-    """The mixed rows: docs' columns and shard; a document taken twice has two rows. Sorted by a hash within each shard."""
-    shards = options.get("shards", SHARDS)
-    plan = mix_plan(docs, seed=seed, **options).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.posexplode("shards").alias("_copy", "shard"))
+    """The mixed rows: docs' columns and shard; a document taken twice has two rows. Every partition holds its part of each shard
+    in a hashed order; write.partitionBy("shard") makes a folder for each."""
+    plan = mix_plan(docs, seed=seed, **options).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.posexplode("shards").alias("_copy", "shard")).hint("merge")
     own = [c for c in docs.columns if c not in ("shard", "_size")]
     rows = docs.select(*own, word_count("text").alias("_size"))
     rows = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
     rows = rows.withColumn("_order", F.xxhash64(F.lit(seed + 4), "doc_id", "_copy"))
-    # a shard is several partitions, so that it can be larger than one task
-    each = -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
-    rows = rows.withColumn("_part", (F.col("shard") * each + F.pmod(F.col("_order"), F.lit(each))).cast("int"))
-    return rows.repartitionById(shards * each, "_part").sortWithinPartitions("shard", "_order").select(*own, "shard")
+    # a sort-merge join (asked for above) has spread the documents by a hash of their keys, so every partition holds a random part of each shard: it is
+    # shuffled where it lies, and the texts move once
+    return rows.sortWithinPartitions("shard", "_order").select(*own, "shard")
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
