@@ -37,7 +37,7 @@ def _register():
 
 
 _register()
-TIDY = r"trim(regexp_replace(regexp_replace(translate(text, '‘’“”–—…' || chr(160), '''''""--. '), '\s+([,.;:!?])', '\1', 'g'), '\s+', ' ', 'g'))"
+TIDY = r"trim(regexp_replace(regexp_replace(translate(text, '‘’“”–—…' || chr(160), '''''' || chr(34) || chr(34) || '--.' || ' '), '\s+([,.;:!?])', '\1', 'g'), '\s+', ' ', 'g'))"
 query("tx1_tidy", f"SELECT doc_id, {TIDY} AS text FROM documents")(lambda spark, sf: docs(spark, sf).select("doc_id", R.tidy("text").alias("text")))
 query("tx2_abbreviations")(lambda spark, sf: docs(spark, sf).select("doc_id", R.abbreviations("text", {"the.": "the full stop", "of.": "of full stop"}).alias("text")))
 FOREIGN = {"license": "lisenziya", "scum": "skam", "disgusting": "disqastinq"}
