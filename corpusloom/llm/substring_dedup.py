@@ -305,7 +305,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     tag = F.pmod(F.xxhash64("text"), F.lit(65_536)).cast("int") if again else F.lit(0)
     docs = docs.withColumn("tag", tag)
     known = docs.where("doc_id is not null")
-    bits = int(np.clip(np.ceil(np.log2(max(1, docs.count()) / 200)), 4, 16))
+    bits = int(np.clip(np.ceil(np.log2(max(1, docs.count()) / 500)), 4, 16))
     cuts = cut_points(known, "doc_id", batches, 0.001)
     index = SuffixIndex(spark, bits, length)
     for i in range(len(cuts) + 1):
