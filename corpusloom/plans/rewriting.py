@@ -61,9 +61,9 @@ query("tx19_symbols", f"SELECT doc_id, {_sym} AS text FROM documents")(lambda sp
 @query("tx20_number_words")
 def tx20_number_words(spark, sf):
     """The distinct whole numbers of the corpus in words, cardinal and ordinal."""
-    found = docs(spark, sf).select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<!\d)(\d{1,15})(?!\d)"), F.lit(1))).alias("span")).distinct()
-    n = F.col("span").cast("long")
-    return found.select("span", R.number_words(n).alias("words"), R.ordinal_words(n).alias("ordinal"))
+    found = docs(spark, sf).select(F.explode(F.regexp_extract_all("text", F.lit(r"(\d+)"), F.lit(1))).alias("span")).distinct()
+    words = R.whole_words(F.col("span"))
+    return found.select("span", words.alias("words"), R.ordinal_form(words).alias("ordinal"))
 
 
 query("tx_spoken_form")(lambda spark, sf: R.spoken_form(docs(spark, sf)).select("doc_id", "text"))

@@ -81,6 +81,21 @@ def test_number_words(spark, n, said):
     assert spark.range(1).select(R.number_words(F.lit(n).cast("long"))).first()[0] == said
 
 
+GROUPS = [("1 234 567 890", "1234567890"), ("12 345 678 901 234 x", "12345678901234 x"), ("1.234.567.890.", "1234567890."), ("1,000,000 və 2,000", "1000000 və 2,000"), ("1.234.5", "1.234.5"), ("1 234 5678", "1234 5678"), ("0.001 2020 100", "0.001 2020 100"), ("1\xa0234\xa0567", "1234567"), ("1 234, 5 678 910", "1234, 5678910")]
+
+
+def test_thousands_join_whole_runs(spark):
+    rows = spark.createDataFrame([(a,) for a, _ in GROUPS], "t string")
+    assert [r[0] for r in rows.select(R.thousands("t")).collect()] == [b for _, b in GROUPS]
+
+
+def test_long_numbers_are_spoken(spark):
+    ones = "bir iki üç dörd beş altı yeddi səkkiz doqquz sıfır"
+    said = [("1000000000000000", "bir kvadrilyon"), ("12345678901234567890", f"{ones} {ones}"), ("0" * 20 + "12", "on iki"), ("x 12345678901234567890-ci", f"x {ones} {ones[:-5]}sıfırıncı"), ("1,12345678901", "bir vergül on iki milyard üç yüz qırx beş milyon altı yüz yetmiş səkkiz min doqquz yüz bir"), ("12345678901234567890 kq", f"{ones} {ones} kiloqram"), ("1 000 000 000 000", "bir trilyon")]
+    docs = spark.createDataFrame(list(enumerate(t for t, _ in said)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in R.spoken_form(docs).collect()} == dict(enumerate(w for _, w in said))
+
+
 def test_chunks_keep_every_word(spark):
     rng = random.Random(3)
     texts = [" ".join(rng.choice(["alma", "və", "armud,", "gəl.", "ki"]) for _ in range(rng.randint(0, 90))) for _ in range(30)]
