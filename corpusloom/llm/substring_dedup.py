@@ -11,7 +11,8 @@ of equal size are merged into one array of the next level, as in a binary counte
 suffixes, spread by hash. An array keeps one document for each segment, the smallest.
 
 Partial matches. Suffixes that agree while their segments differ (at the ends of a repeat) are compared window by window on
-the texts themselves, after the last batch.
+the texts themselves, after the last batch. Suffixes with very many different segments are found in a sample first: their
+entries are spread by segment too, and their windows compared by an aggregate, which sums on the map side.
 
 Repeated entries of a task are folded before they are shuffled, so a text with very many copies costs one entry a task.
 
@@ -32,6 +33,10 @@ from corpusloom.llm.store import cut_points, forget, in_batches, read, release,
 LENGTH, SUFFIX = 50, 16
 BATCHES = 4
 FLUSH = 100_000
+#: A suffix with so many different segments among one in HOT_SHARE documents is hot: it is not brought together in one task.
+HOT_SHARE, HOT_SEEN, HOT_MOST = 64, 32, 100_000
+#: So many windows of hot suffixes, the most frequent ones, are told to all tasks.
+HEAVY_WINDOWS = 20_000
 CHUNK = (1 << 20) - 256
 _BASE = 0xD1342543DE82EF95
 _VALUE = np.random.default_rng(50).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -124,8 +129,26 @@ def _by_doc(doc, tag, number):
 ROWS = "p int, block binary, doc_id long, tag int, numbers binary"
 
 
-def batch_entries(docs: DataFrame, bits: int, length: int) -> DataFrame:
-    """Blocks (p, block) of the batch's entries and rows (doc_id, tag, numbers) of those that a smaller document of the same task covers."""
+def hot_suffixes(docs: DataFrame, length: int) -> np.ndarray:
+    """The sorted hashes of hot suffixes, by their different segments in a sample of the documents; HOT_MOST at most."""
+    import pyarrow as pa
+
+    def run(batch):
+        for text in batch.column("text").to_pylist():
+            h, seg, *_ = suffixes((text or "").encode(), length)
+            yield [pa.array(h.view(np.int64)), pa.array(seg.view(np.int64))]
+
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(64)), F.lit(HOT_SHARE)) == 0)
+    seen = in_batches(sample.select("text"), run, "h long, seg long", 500).distinct().groupBy("h").count().where(F.col("count") >= HOT_SEEN)
+    return np.sort(seen.orderBy(F.desc("count"), "h").limit(HOT_MOST).toArrow().column("h").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _is_in(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    return hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
+
+
+def batch_entries(docs: DataFrame, bits: int, length: int, hot) -> DataFrame:
+    """Blocks (p, block) of the batch's entries, those of hot suffixes in ranges from 2^bits on, and rows (doc_id, tag, numbers) of those that a smaller document of the same task covers."""
     import pyarrow as pa
 
     arrow = pa.schema([("p", pa.int32()), ("block", pa.binary()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("numbers", pa.binary())])
@@ -138,8 +161,13 @@ def batch_entries(docs: DataFrame, bits: int, length: int) -> DataFrame:
         new = _runs(h, seg)
         covered = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         gone = _by_doc(doc[covered], tag[covered], number[covered])
-        keep = [x[~covered] for x in (k1, k2, seg, doc, tag, number)]
-        top = (h[~covered] >> np.uint64(64 - bits)).astype(np.int64)
+        h, *keep = (x[~covered] for x in (h, k1, k2, seg, doc, tag, number))
+        top = (h >> np.uint64(64 - bits)).astype(np.int64)
+        apart = np.flatnonzero(_is_in(h, hot.value))
+        if len(apart):
+            top[apart] = (mixed(h[apart] + keep[2][apart]) >> np.uint64(64 - bits)).astype(np.int64) + (1 << bits)
+            order = np.argsort(top, kind="stable")
+            top, keep = top[order], [x[order] for x in keep]
         edge = np.r_[np.flatnonzero(_runs(top)), len(top)]
         rows = [(int(top[a]), _block([x[a:z] for x in keep]), None, None, None) for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
         rows += [(None, None, *g) for g in gone]
@@ -171,10 +199,10 @@ def _small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def merge_scan(blocks: DataFrame, merge: list[int], last: bool) -> DataFrame:
+def merge_scan(blocks: DataFrame, merge: list[int], last: bool, bits: int) -> DataFrame:
     """blocks (level, p, block), level -1 for the batch. Rows as in ROWS: of the batch's entries those covered by an earlier
     document (tag kept, p null); the merged array of the batch and the levels in ``merge`` (p, block). After the last batch,
-    in place of an array, entries (p -1) whose suffix occurs with several segments."""
+    in place of an array, entries (p -1) whose suffix occurs with several segments, as hot ones do."""
     import pandas as pd
 
     def run(pdf):
@@ -193,7 +221,7 @@ def merge_scan(blocks: DataFrame, merge: list[int], last: bool) -> DataFrame:
             group = np.cumsum(suffix) - 1
             mixed_up = np.bincount(group, new)[group] > 1
             several = np.minimum.reduceat(doc, np.flatnonzero(suffix))[group] < np.maximum.reduceat(doc, np.flatnonzero(suffix))[group] if len(doc) else mixed_up
-            ask = mixed_up & several & ~covered
+            ask = (mixed_up & several | (pdf["p"].iloc[0] >= 1 << bits)) & ~covered
             rows += [(-1, None, *g) for g in _by_doc(doc[ask], tag[ask], number[ask])]
         else:
             keep = ~covered & np.isin(level, [-1, *merge])
@@ -208,15 +236,15 @@ def merge_scan(blocks: DataFrame, merge: list[int], last: bool) -> DataFrame:
 class SuffixIndex:
     """The family of arrays: level k holds the entries of 2^k batches, or is empty. ``add`` takes batches of ascending doc_id."""
 
-    def __init__(self, spark: SparkSession, bits: int, length: int = LENGTH):
-        self.spark, self.bits, self.length = spark, bits, length
+    def __init__(self, spark: SparkSession, bits: int, length: int, hot):
+        self.spark, self.bits, self.length, self.hot = spark, bits, length, hot
         self.levels: dict[int, str] = {}
         self.covered: list[DataFrame] = []
         self.asked: DataFrame | None = None
 
     def add(self, docs: DataFrame, last: bool = False) -> None:
         spark, path = self.spark, shared_dir(self.spark)
-        made = written(batch_entries(docs, self.bits, self.length), path)
+        made = written(batch_entries(docs, self.bits, self.length, self.hot), path)
         self._note(made.where("doc_id is not null"))
         merge = []
         while len(merge) in self.levels and not last:
@@ -225,7 +253,7 @@ class SuffixIndex:
         for k, at in self.levels.items():
             sides.append(spark.read.schema(ROWS).parquet(at).where("block is not null").select(F.lit(k).alias("level"), "p", "block"))
         to = shared_dir(spark)
-        out = written(merge_scan(union_all(sides), merge, last), to)
+        out = written(merge_scan(union_all(sides), merge, last, self.bits), to)
         self._note(out.where("p is null"))
         if last:
             self.asked = out.where("p = -1").select("doc_id", "tag", "numbers")
@@ -245,7 +273,7 @@ def _numbers(column: str):
     return F.expr(f"unhex(array_join(transform(collect_list({column}), x -> hex(x)), ''))")
 
 
-def window_matches(docs: DataFrame, asked: DataFrame, bits: int, length: int) -> DataFrame:
+def window_matches(docs: DataFrame, asked: DataFrame, bits: int, length: int, hot) -> DataFrame:
     """Of the asked suffixes, compared window by window on the texts: (doc_id, tag, ranges) of bytes that a smaller document covers."""
     import pandas as pd
     import pyarrow as pa
@@ -257,6 +285,8 @@ def window_matches(docs: DataFrame, asked: DataFrame, bits: int, length: int) ->
         for doc_id, tag, text, numbers in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text", "numbers")), strict=True):
             raw = text.encode()
             h, _, first, last, at = (x[np.unique(np.frombuffer(numbers, "<u4"))] for x in suffixes(raw, length))
+            cold = ~_is_in(h, hot.value)
+            h, first, last, at = (x[cold] for x in (h, first, last, at))
             n = len(h)
             ranges = (h >> np.uint64(64 - bits)).astype(np.int32)
             yield [pa.array(ranges), pa.array(h.view(np.int64)), pa.array([doc_id] * n, pa.int64()), pa.array([tag] * n, pa.int32()), pa.array(first), pa.array((at - first).astype(np.int32)), [raw[a : z + length] for a, z in zip(first.tolist(), last.tolist(), strict=True)]]
@@ -294,9 +324,45 @@ def window_matches(docs: DataFrame, asked: DataFrame, bits: int, length: int) ->
         return pd.DataFrame({"doc_id": doc[rows[a]], "tag": pdf["tag"].to_numpy()[rows[a]], "start": first[rows[a]] + inner[a], "stop": first[rows[a]] + inner[z] + length})
 
     found = segments.groupBy("p").applyInPandas(compare, "doc_id long, tag int, start long, stop long")
+    if len(hot.value):
+        found = found.unionByName(hot_matches(texts, length, hot))
     return found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
 
 
+def hot_matches(texts: DataFrame, length: int, hot) -> DataFrame:
+    """Windows (doc_id, tag, start, stop) of hot suffixes that a smaller document has. The least document of each window is an
+    aggregate; it is joined back to windows that several documents have, those of very many documents as a broadcast."""
+    import pyarrow as pa
+
+    def windows(batch):
+        for doc_id, tag, text, numbers in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text", "numbers")), strict=True):
+            raw = text.encode()
+            own = np.unique(np.frombuffer(numbers, "<u4"))
+            h, _, first, last, at = (x[own] for x in suffixes(raw, length))
+            warm = _is_in(h, hot.value)
+            h, first, last, at = (x[warm] for x in (h, first, last, at))
+            keys, starts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for x, a, z, place in zip(h, first.tolist(), last.tolist(), at.tolist(), strict=True):
+                b = np.frombuffer(raw, np.uint8, z - a + length, a)
+                sums = np.r_[np.uint64(0), np.cumsum(_VALUE[b] * _up[: len(b)], dtype=np.uint64)]
+                s = np.arange(z - a + 1)
+                value = (sums[s + length] - sums[s]) * _down[s]
+                ahead = (place - a - s).astype(np.uint64)
+                keys.append(mixed(value + x * np.uint64(3) + ahead * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
+                starts.append(s + a)
+            keys, starts = np.concatenate(keys), np.concatenate(starts)
+            yield [pa.array(keys), pa.array([doc_id] * len(keys), pa.int64()), pa.array([tag] * len(keys), pa.int32()), pa.array(starts)]
+
+    seen = written(in_batches(texts.select("doc_id", "tag", "text", "numbers"), windows, "key long, doc_id long, tag int, start long", 500))
+    shared = seen.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("least < most")
+    shared = written(shared.select("key", "least", "n"))
+    heavy = written(shared.orderBy(F.desc("n"), "key").limit(HEAVY_WINDOWS).select("key", "least"))
+    light = shared.select("key", "least").join(F.broadcast(heavy), "key", "left_anti")
+    rest = seen.join(F.broadcast(heavy), "key", "left_anti").join(light, "key")
+    found = seen.join(F.broadcast(heavy), "key").unionByName(rest).where("doc_id > least")
+    return found.select("doc_id", "tag", "start", (F.col("start") + length).alias("stop"))
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_bytes, spans (maximal removed runs of bytes) and kept (binary)."""
     spark = docs.sparkSession
@@ -307,11 +373,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     known = docs.where("doc_id is not null")
     bits = int(np.clip(np.ceil(np.log2(max(1, docs.count()) / 500)), 4, 16))
     cuts = cut_points(known, "doc_id", batches, 0.001)
-    index = SuffixIndex(spark, bits, length)
+    hot = spark.sparkContext.broadcast(hot_suffixes(known, length))
+    index = SuffixIndex(spark, bits, length, hot)
     for i in range(len(cuts) + 1):
         batch = known if not cuts else known.where((F.col("doc_id") > cuts[i - 1] if i else F.lit(True)) & (F.col("doc_id") <= cuts[i] if i < len(cuts) else F.lit(True)))
         index.add(batch, last=i == len(cuts))
-    ranges = written(window_matches(known, index.asked, bits, length))
+    ranges = written(window_matches(known, index.asked, bits, length, hot))
     release(spark)
     covered = union_all(index.covered).groupBy("doc_id", "tag").agg(_numbers("numbers").alias("numbers"))
     marks = written(covered.join(ranges, ["doc_id", "tag"], "full"))

@@ -122,6 +122,29 @@ def test_repeats_equal_brute_force(spark, empty):
     assert sorted((r.doc_id or 0, len(r.kept)) for r in substring_dedup.remove_repeats(odd).collect()) == sorted([(0, len(passage)), (5, len(passage)), (5, len(passage)), (5, len(passage) + 6), (9, 0)])
 
 
+def test_hot_suffixes_are_spread_and_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT_SHARE", 1)
+    monkeypatch.setattr(substring_dedup, "HOT_SEEN", 8)
+    monkeypatch.setattr(substring_dedup, "HEAVY_WINDOWS", 5)
+    g, passage = random.Random(8), prose(14)
+    word = lambda: "".join(g.choice("bcdfghjk") for _ in range(12))
+    texts = [f"{word()} {word()} {passage[g.randint(0, 12):]} {word()} {word()}" for _ in range(80)] + [passage, None, prose(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hot = substring_dedup.hot_suffixes(docs, 50)
+    assert len(hot)
+    rows = substring_dedup.batch_entries(docs.withColumn("tag", F.lit(0)), 6, 50, spark.sparkContext.broadcast(hot)).where("block is not null").collect()
+    by, seen = {}, {}
+    for r in rows:
+        k1, k2, *_ = substring_dedup._entries([r.block])
+        for suffix in zip(k1.tolist(), k2.tolist(), strict=True):
+            by[suffix, r.p] = by.get((suffix, r.p), 0) + 1
+            seen[suffix] = seen.get(suffix, 0) + 1
+    suffix = max(seen, key=seen.get)
+    assert max(n for (s, _), n in by.items() if s == suffix) <= seen[suffix] / 4
+    got = {r.doc_id: bytes(r.kept) for r in substring_dedup.remove_repeats(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_repeats([(t or "").encode() for t in texts])
+
+
 def test_fingerprints(spark, docs, empty):
     texts = all_texts()
     prints = fingerprints.sketches(texts)
