@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from functools import reduce
+from math import ceil, log2
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,12 @@ def lower_az(c):
     return F.translate(c, UPPER, UPPER.lower())
 
 
+def range_bits(docs: DataFrame, rows: int, size: int, most: int = 29) -> int:
+    """The bits of ranges that hold so many of the documents (doc_id, text) and so many bytes of text each, at most."""
+    n, total = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    return min(most, max(4, ceil(log2(max(1, n / rows, (total or 0) / size)))))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.shingles import mixed
-from corpusloom.llm.store import cut_points, forget, in_batches, read, release, shared_dir, union_all, written
+from corpusloom.llm.store import cut_points, forget, in_batches, range_bits, read, release, shared_dir, union_all, written
 
 LENGTH, SUFFIX = 50, 16
 BATCHES = 4
 FLUSH = 100_000
+RANGE_BYTES = 1_000_000
 #: A suffix with so many different segments among one in HOT_SHARE documents is hot: it is not brought together in one task.
 HOT_SHARE, HOT_SEEN, HOT_MOST = 64, 32, 100_000
 #: So many windows of hot suffixes, the most frequent ones, are told to all tasks.
@@ -371,7 +372,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     tag = F.pmod(F.xxhash64("text"), F.lit(65_536)).cast("int") if again else F.lit(0)
     docs = docs.withColumn("tag", tag)
     known = docs.where("doc_id is not null")
-    bits = int(np.clip(np.ceil(np.log2(max(1, docs.count()) / 500)), 4, 16))
+    bits = range_bits(docs, 500, RANGE_BYTES)
     cuts = cut_points(known, "doc_id", batches, 0.001)
     hot = spark.sparkContext.broadcast(hot_suffixes(known, length))
     index = SuffixIndex(spark, bits, length, hot)

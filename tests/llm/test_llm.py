@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from corpusloom.llm import byte_bpe, fingerprints, jaccard_join, language_id, line_dedup, media, mixing, quality_fm, substring_dedup, token_counts, webp
 from corpusloom.llm.shingles import shingle_sets
+from corpusloom.llm.store import range_bits
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 rng = random.Random(9)
@@ -252,6 +253,19 @@ def test_jaccard_groups_equal_brute_force(spark, docs, empty):
     assert kept.where("doc_id = 3").count() == 1 and kept.where("doc_id in (40, 41, 42)").count() == 0
 
 
+def test_ranges_follow_bytes_and_counts_are_summed_before_the_shuffle(spark, empty):
+    long = spark.range(8, numPartitions=8).select(F.col("id").alias("doc_id"), F.repeat(F.lit("0123456789"), 800_000).alias("text"))
+    assert (range_bits(long, 500, 1_000_000), range_bits(long, 500, 1_000_000, 5), range_bits(empty, 500, 1_000_000)) == (6, 5, 4)
+    assert range_bits(spark.range(40_000).select("id", F.lit("x").alias("text")), 500, 1_000_000) == 7
+    texts = ["a b c d e f " + prose(8) for _ in range(30)]
+    blocks = jaccard_join.describe(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), 4, 5).where("block is not null")
+    sets = np.concatenate(shingle_sets(texts)) >> np.uint64(24)
+    u, c = np.unique(sets, return_counts=True)
+    assert sum(len(r.block) // 5 for r in blocks.collect()) == len(u) < len(sets)
+    token, df = jaccard_join.hot_tokens(blocks)
+    assert (token.tolist(), df.tolist()) == (u[c >= jaccard_join.MIN_HOT].tolist(), c[c >= jaccard_join.MIN_HOT].tolist())
+
+
 def test_mix_comes_near_its_targets(spark, empty):
     g = random.Random(2)
     many = [(i, prose(g.randint(1, 60)), None, g.choice(["a", "b", "b", "b", "c", None]), 1) for i in range(1500)] + [(9000, None, None, "a", 0), (9001, "w " * 7, None, "c", 0), (9001, "w " * 7, None, "c", 0)]
