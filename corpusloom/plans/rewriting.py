@@ -51,7 +51,7 @@ def tx3_foreign_words(spark, sf):
 
 
 query("tx5_thousands")(lambda spark, sf: docs(spark, sf).select("doc_id", R.thousands("text").alias("text")))
-query("tx9_operators", r"SELECT doc_id, regexp_replace(text, '(\d)\s*[xX×]\s*(\d)', '\1 vurulsun \2', 'g') AS text FROM documents WHERE NOT contains(text, ':')")(lambda spark, sf: docs(spark, sf).where("not contains(text, ':')").select("doc_id", R.operators("text").alias("text")))
+query("tx9_operators", r"SELECT doc_id, regexp_replace(text, '(\d)\s*[xX×]\s*(\d)', '\1 vurulsun \2', 'g') AS text FROM documents WHERE NOT contains(text, ':')")(lambda spark, sf: docs(spark, sf).select("doc_id", R.operators("text").alias("text")))
 _sym = "text"
 for _a, _b in R.SYMBOLS.items():
     _sym = f"replace({_sym}, '{_a}', '{_b}')"

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corpusloom import catalog
 from corpusloom.functions import text as T
 from corpusloom.operators import alignment as A
 from corpusloom.operators import batching as B
@@ -96,6 +97,13 @@ def test_long_numbers_are_spoken(spark):
     assert {r.doc_id: r.text for r in R.spoken_form(docs).collect()} == dict(enumerate(w for _, w in said))
 
 
+def test_operators_run_over_documents_with_colons(spark, tmp_path):
+    said = [("3:2", "3 2"), ("100:99 və 1:2:3", "100 99 və 1 2 3"), ("a: 2x3", "a: 2 vurulsun 3"), ("4 x 5", "4 vurulsun 5")]
+    spark.createDataFrame([(i, t, "s", "az") for i, (t, _) in enumerate(said)], "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.text for r in catalog.queries()["tx9_operators"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(w for _, w in said))
+
+
 def test_chunks_keep_every_word(spark):
     rng = random.Random(3)
     texts = [" ".join(rng.choice(["alma", "və", "armud,", "gəl.", "ki"]) for _ in range(rng.randint(0, 90))) for _ in range(30)]
