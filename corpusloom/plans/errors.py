@@ -15,10 +15,12 @@ WORDS = r"list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z\s]',
 BASE = f"{LINES}, clauses AS (SELECT id, src, seq, parts[part + 1] AS text, part FROM (SELECT id, src, seq, parts, unnest(range(0, len(parts))) AS part FROM (SELECT id, src, seq, string_split_regex(text, '[.!?,]+') AS parts FROM lines))), w AS (SELECT (id * 1000 + seq) * 10000 + part AS row_id, id, seq, src, text, {WORDS} AS ws FROM clauses), v AS (SELECT w.*, version, k FROM w, (VALUES ('dataset', 11), ('base', 5), ('step', 7)) t(version, k)), s AS (SELECT *, len(list_filter(range(1, len(ws) + 1), lambda i: (i + id) % k = 0))::BIGINT AS wrong FROM v WHERE len(ws) > 0)"
 
 
-def transcripts(spark, sf, *versions):
-    """row_id, version, text, hyp in long form, by clause; texts are cut to plain letters first."""
+def transcripts(spark, sf, *versions, exact=False):
+    """row_id, version, text, hyp in long form, by clause; texts are cut to plain letters first. The number row_id repeats past
+    999 lines or 9,999 clauses; exact gives (id, seq, part), which does not, in the same order."""
+    row_id = F.struct("id", "seq", "part") if exact else (F.col("id") * 1000 + F.col("seq")) * 10000 + F.col("part")
     rows = lines(spark, sf).select("id", "src", "seq", F.posexplode(F.split("text", "[.!?,]+")).alias("part", "text"))
-    rows = rows.select(((F.col("id") * 1000 + F.col("seq")) * 10000 + F.col("part")).alias("row_id"), "id", "src", F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), r"[^a-z\s]", " "), r"\s+", " ")).alias("text")).where("text <> ''")
+    rows = rows.select(row_id.alias("row_id"), "id", "src", F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), r"[^a-z\s]", " "), r"\s+", " ")).alias("text")).where("text <> ''")
     wide = rows.select("row_id", "id", "src", "text", *(_spoiled(k).alias(v) for v, k in PLANTED.items() if not versions or v in versions))
     return wide.unpivot(["row_id", "id", "src", "text"], [v for v in PLANTED if not versions or v in versions], "version", "hyp")
 
@@ -65,12 +67,12 @@ def ea7_confusions(spark, sf):
 
 @query("ea8_model_only", f"WITH {BASE}, {OPS_SQL}, r AS (SELECT DISTINCT row_id, w FROM o WHERE version = 'dataset' AND NOT bad), m AS (SELECT o.w AS ref, count(*)::BIGINT AS n, min_by(regexp_replace(o.w, '.', '0', 'g'), row_id * 100000 + i) AS heard_as FROM o JOIN r USING (row_id, w) WHERE o.version = 'step' AND bad GROUP BY 1) SELECT * FROM m ORDER BY n DESC, ref LIMIT 40")
 def ea8_model_only(spark, sf):
-    return A.model_only(A.operations(transcripts(spark, sf, "step", "dataset")), "step", "dataset")
+    return A.model_only(A.operations(transcripts(spark, sf, "step", "dataset", exact=True)), "step", "dataset")
 
 
 @query("ea9_position_errors", f"WITH {BASE}, {OPS_SQL} SELECT version, CASE WHEN i = 1 THEN 'first' WHEN i = n THEN 'last' ELSE 'middle' END AS place, round(avg(bad::INT), 6) AS rate, count(*)::BIGINT AS n FROM o WHERE version IN ('step', 'base') GROUP BY 1, 2")
 def ea9_position_errors(spark, sf):
-    return A.position_errors(A.operations(transcripts(spark, sf, "step", "base")))
+    return A.position_errors(A.operations(transcripts(spark, sf, "step", "base", exact=True)))
 
 
 @query("ea10_breakdown", f"WITH {BASE} SELECT version, CASE WHEN len(ws) <= 5 THEN '1-5' WHEN len(ws) <= 10 THEN '6-10' WHEN len(ws) <= 15 THEN '11-15' ELSE '16+' END AS bin, count(*)::BIGINT AS clips, round(sum(wrong) / sum(len(ws))::DOUBLE, 6) AS wer FROM s GROUP BY ALL")
@@ -81,7 +83,7 @@ def ea10_breakdown(spark, sf):
 @query("ea11_experiment_grid")
 def ea11_experiment_grid(spark, sf):
     """One row a variant: WER of all and of short rows, error rates by place, and of two letters."""
-    rows = transcripts(spark, sf)
+    rows = transcripts(spark, sf, exact=True)
     marked = A.scored(rows.withColumn("short", T.word_count("text") <= 5))
     wer = marked.groupBy("version").agg(F.round(F.sum("wrong") / F.sum("words"), 6).alias("wer"), F.round(F.sum(F.when(F.col("short"), F.col("wrong"))) / F.sum(F.when(F.col("short"), F.col("words"))), 6).alias("wer_short"))
     places = A.position_errors(A.operations(rows)).groupBy("version").pivot("place", ["first", "middle", "last"]).agg(F.first("rate"))

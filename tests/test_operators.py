@@ -104,6 +104,13 @@ def test_operators_run_over_documents_with_colons(spark, tmp_path):
     assert got == dict(enumerate(w for _, w in said))
 
 
+def test_clauses_of_long_documents_stay_apart(spark, tmp_path):
+    texts = {1: "one two three\n" * 1002, 2: "four five six\nseven eight nine"}
+    spark.createDataFrame([(i, t, "s", "en") for i, t in texts.items()], "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.version, r.place): r.n for r in catalog.queries()["ea9_position_errors"](spark, str(tmp_path)).collect()}
+    assert got == {(v, p): 1004 for v in ("step", "base") for p in ("first", "middle", "last")}
+
+
 def test_chunks_keep_every_word(spark):
     rng = random.Random(3)
     texts = [" ".join(rng.choice(["alma", "və", "armud,", "gəl.", "ki"]) for _ in range(rng.randint(0, 90))) for _ in range(30)]
