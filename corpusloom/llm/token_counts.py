@@ -23,6 +23,8 @@ from corpusloom.llm.store import in_batches, read, written
 
 END, WIDTH = 50_256, 2
 BLOCK_TOKENS = 1 << 16
+#: Bytes that are read at once, and in one task.
+RANGE_BYTES, PART_BYTES = 8 << 20, 128 << 20
 
 
 def write_flat(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, end: int = END, path: str | None = None) -> DataFrame:
@@ -67,11 +69,30 @@ def write_flat(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, end: int = END
 
 
 def read_flat(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, width: int = WIDTH) -> DataFrame:
-    """Flat files below a path as rows (file, block, data); file is the path."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    """Flat files below a path, of any size, as rows (file, block, data); file is the path. Spark lists the files; tasks read
+    ranges of blocks at their offset through pyarrow's file systems, which have to know the path's scheme."""
+    import pyarrow as pa
+
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
     size = block_tokens * width
-    at = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((F.length("content") - 1) / size)))).alias("block")
-    return files.select("file", at, "content").select("file", "block", F.substring("content", F.col("block") * size + 1, F.lit(size)).alias("data"))
+    step = max(1, RANGE_BYTES // size) * size
+    parts = max(spark.sparkContext.defaultParallelism, -(-(files.agg(F.sum("length")).first()[0] or 0) // PART_BYTES))
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.col("length") - 1), F.lit(step).cast("long"))).alias("at")
+    ranges = files.select("file", "length", at).select("file", "at", F.least(F.lit(step), F.col("length") - F.col("at")).alias("n")).repartition(parts, "file", "at")
+
+    def run(batch):
+        from pyarrow import fs
+
+        for file, at, n in zip(*(batch.column(c).to_pylist() for c in ("file", "at", "n")), strict=True):
+            store, name = (fs.LocalFileSystem(), "/" + file[5:].lstrip("/")) if file.startswith("file:") else fs.FileSystem.from_uri(file)
+            with store.open_input_file(name) as f:
+                data = f.read_at(n, at)
+            if len(data) != n:
+                raise ValueError(f"{file}: {len(data)} of {n} bytes at {at}")
+            blocks = [data[i : i + size] for i in range(0, max(1, n), size)]
+            yield [[file] * len(blocks), pa.array(range(at // size, at // size + len(blocks)), pa.int64()), pa.array(blocks, pa.binary())]
+
+    return in_batches(ranges, run, "file string, block long, data binary", 64)
 
 
 def count_documents(blocks: DataFrame, end: int = END, width: int = WIDTH) -> DataFrame:

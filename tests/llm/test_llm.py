@@ -224,6 +224,27 @@ def test_separator_scan(spark, docs, empty):
     assert token_counts.write_flat(empty).count() == 0
 
 
+def test_flat_files_are_read_by_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_counts, "RANGE_BYTES", 64)
+    g, want = random.Random(6), {}
+    for name in ("a", "b", "none"):
+        ids = np.array([] if name == "none" else [9 if g.random() < 0.02 else 1 for _ in range(1001)], "<u2")
+        (tmp_path / name).write_bytes(ids.tobytes())
+        ends = np.flatnonzero(ids == 9)
+        want[name] = np.diff(np.r_[-1, ends]) - 1
+        if len(ids) - 1 > (ends[-1] if len(ends) else -1):
+            want[name] = np.r_[want[name], len(ids) - 1 - ends[-1]]
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)  # stands for the 2 GiB that a file's content may have
+    try:
+        for size in (7, 16, 5000):
+            got = {}
+            for r in token_counts.count_documents(token_counts.read_flat(spark, str(tmp_path), size), end=9).orderBy("ordinal").collect():
+                got.setdefault(r.file.rsplit("/")[-1], []).append(r.n_tokens)
+            assert got == {k: v.tolist() for k, v in want.items() if len(v)}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
 def test_jaccard_groups_equal_brute_force(spark, docs, empty):
     g = random.Random(4)
     texts, base = all_texts(), prose(60).split()
