@@ -203,7 +203,7 @@ def _small_batches(spark: SparkSession, rows: int = 500) -> None:
 def merge_scan(blocks: DataFrame, merge: list[int], last: bool, bits: int) -> DataFrame:
     """blocks (level, p, block), level -1 for the batch. Rows as in ROWS: of the batch's entries those covered by an earlier
     document (tag kept, p null); the merged array of the batch and the levels in ``merge`` (p, block). After the last batch,
-    in place of an array, entries (p -1) whose suffix occurs with several segments, as hot ones do."""
+    in place of an array, entries whose suffix occurs with several segments (p -1), and those of hot suffixes (p -2)."""
     import pandas as pd
 
     def run(pdf):
@@ -222,8 +222,9 @@ def merge_scan(blocks: DataFrame, merge: list[int], last: bool, bits: int) -> Da
             group = np.cumsum(suffix) - 1
             mixed_up = np.bincount(group, new)[group] > 1
             several = np.minimum.reduceat(doc, np.flatnonzero(suffix))[group] < np.maximum.reduceat(doc, np.flatnonzero(suffix))[group] if len(doc) else mixed_up
-            ask = (mixed_up & several | (pdf["p"].iloc[0] >= 1 << bits)) & ~covered
-            rows += [(-1, None, *g) for g in _by_doc(doc[ask], tag[ask], number[ask])]
+            hot = pdf["p"].iloc[0] >= 1 << bits
+            ask = (mixed_up & several | hot) & ~covered
+            rows += [(-2 if hot else -1, None, *g) for g in _by_doc(doc[ask], tag[ask], number[ask])]
         else:
             keep = ~covered & np.isin(level, [-1, *merge])
             if keep.any():
@@ -257,7 +258,7 @@ class SuffixIndex:
         out = written(merge_scan(union_all(sides), merge, last, self.bits), to)
         self._note(out.where("p is null"))
         if last:
-            self.asked = out.where("p = -1").select("doc_id", "tag", "numbers")
+            self.asked = out.where("p < 0").select("p", "doc_id", "tag", "numbers")
         for used in [path, *(self.levels.pop(k) for k in (list(self.levels) if last else merge))]:
             forget(spark, used)
         if not last:
@@ -274,20 +275,18 @@ def _numbers(column: str):
     return F.expr(f"unhex(array_join(transform(collect_list({column}), x -> hex(x)), ''))")
 
 
-def window_matches(docs: DataFrame, asked: DataFrame, bits: int, length: int, hot) -> DataFrame:
+def window_matches(docs: DataFrame, asked: DataFrame, bits: int, length: int) -> DataFrame:
     """Of the asked suffixes, compared window by window on the texts: (doc_id, tag, ranges) of bytes that a smaller document covers."""
     import pandas as pd
     import pyarrow as pa
 
-    asked = asked.groupBy("doc_id", "tag").agg(_numbers("numbers").alias("numbers"))
-    texts = docs.join(asked, ["doc_id", "tag"])
+    sides = [asked.where(F.col("p") == p).groupBy("doc_id", "tag").agg(_numbers("numbers").alias("numbers")) for p in (-1, -2)]
+    texts, warm = (docs.join(side, ["doc_id", "tag"]) for side in sides)
 
     def cut(batch):
         for doc_id, tag, text, numbers in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text", "numbers")), strict=True):
             raw = text.encode()
             h, _, first, last, at = (x[np.unique(np.frombuffer(numbers, "<u4"))] for x in suffixes(raw, length))
-            cold = ~_is_in(h, hot.value)
-            h, first, last, at = (x[cold] for x in (h, first, last, at))
             n = len(h)
             ranges = (h >> np.uint64(64 - bits)).astype(np.int32)
             yield [pa.array(ranges), pa.array(h.view(np.int64)), pa.array([doc_id] * n, pa.int64()), pa.array([tag] * n, pa.int32()), pa.array(first), pa.array((at - first).astype(np.int32)), [raw[a : z + length] for a, z in zip(first.tolist(), last.tolist(), strict=True)]]
@@ -325,12 +324,12 @@ def window_matches(docs: DataFrame, asked: DataFrame, bits: int, length: int, ho
         return pd.DataFrame({"doc_id": doc[rows[a]], "tag": pdf["tag"].to_numpy()[rows[a]], "start": first[rows[a]] + inner[a], "stop": first[rows[a]] + inner[z] + length})
 
     found = segments.groupBy("p").applyInPandas(compare, "doc_id long, tag int, start long, stop long")
-    if len(hot.value):
-        found = found.unionByName(hot_matches(texts, length, hot))
+    if not asked.where("p = -2").isEmpty():
+        found = found.unionByName(written(hot_matches(warm, length)))
     return found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
 
 
-def hot_matches(texts: DataFrame, length: int, hot) -> DataFrame:
+def hot_matches(texts: DataFrame, length: int) -> DataFrame:
     """Windows (doc_id, tag, start, stop) of hot suffixes that a smaller document has. The least document of each window is an
     aggregate; it is joined back to windows that several documents have, those of very many documents as a broadcast."""
     import pyarrow as pa
@@ -340,8 +339,6 @@ def hot_matches(texts: DataFrame, length: int, hot) -> DataFrame:
             raw = text.encode()
             own = np.unique(np.frombuffer(numbers, "<u4"))
             h, _, first, last, at = (x[own] for x in suffixes(raw, length))
-            warm = _is_in(h, hot.value)
-            h, first, last, at = (x[warm] for x in (h, first, last, at))
             keys, starts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for x, a, z, place in zip(h, first.tolist(), last.tolist(), at.tolist(), strict=True):
                 b = np.frombuffer(raw, np.uint8, z - a + length, a)
@@ -379,7 +376,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     for i in range(len(cuts) + 1):
         batch = known if not cuts else known.where((F.col("doc_id") > cuts[i - 1] if i else F.lit(True)) & (F.col("doc_id") <= cuts[i] if i < len(cuts) else F.lit(True)))
         index.add(batch, last=i == len(cuts))
-    ranges = written(window_matches(known, index.asked, bits, length, hot))
+    ranges = written(window_matches(known, index.asked, bits, length))
     release(spark)
     covered = union_all(index.covered).groupBy("doc_id", "tag").agg(_numbers("numbers").alias("numbers"))
     marks = written(covered.join(ranges, ["doc_id", "tag"], "full"))
