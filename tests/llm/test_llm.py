@@ -274,6 +274,25 @@ def test_jaccard_groups_equal_brute_force(spark, docs, empty):
     assert kept.where("doc_id = 3").count() == 1 and kept.where("doc_id in (40, 41, 42)").count() == 0
 
 
+def test_keep_one_equals_brute_force_by_row(spark):
+    a, b, c, d = (prose(40) for _ in range(4))
+    rows = [(1, a), (1, b), (2, b), (2, b), (None, a), (None, c), (None, c), (None, c + " tail"), (3, d), (3, d), (4, ""), (4, ""), (5, None), (None, ""), (None, ""), (6, d + " tail")]
+    sets = shingle_sets([t for _, t in rows])
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n long").withColumn("t", F.xxhash64("text"))
+    hashes = {r.n: r.t for r in docs.collect()}
+    left, want = list(range(len(rows))), []
+    while left:
+        group, size = {left[0]}, 0
+        while size < len(group):
+            size = len(group)
+            group |= {j for j in left for i in list(group) if len(sets[i]) and len(sets[j]) and 175 * len(np.intersect1d(sets[i], sets[j])) >= 75 * (len(sets[i]) + len(sets[j]))}
+        left = [i for i in left if i not in group]
+        want.append(rows[min(group, key=lambda n: (rows[n][0] is None, rows[n][0] or 0, hashes[n]))])
+    want.remove((4, ""))  # of a repeated row without words one stays
+    key = lambda r: tuple(map(str, r))
+    assert sorted(((r.doc_id, r.text) for r in jaccard_join.keep_one(docs).collect()), key=key) == sorted(want, key=key)
+
+
 def test_ranges_follow_bytes_and_counts_are_summed_before_the_shuffle(spark, empty):
     long = spark.range(8, numPartitions=8).select(F.col("id").alias("doc_id"), F.repeat(F.lit("0123456789"), 800_000).alias("text"))
     assert (range_bits(long, 500, 1_000_000), range_bits(long, 500, 1_000_000, 5), range_bits(empty, 500, 1_000_000)) == (6, 5, 4)
