@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.store import held_out, in_batches, read
+from corpusloom.llm.store import held_out, in_batches, read, unused
 
 WINDOW, HIDDEN = 64, 8
 SAMPLE_DOCS, SAMPLE_WINDOWS = 2000, 8
@@ -222,7 +222,8 @@ def identify(docs: DataFrame, model: ByteGru | None, keep_text: bool = False) ->
     the number of bytes that bear each language's label."""
     own = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "positions", *["text"] * (not keep_text))]
     names = [f.name for f in own]
-    rows = docs.select(*names, F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("_lettered"))
+    lettered = unused("lettered", names)
+    rows = docs.select(*names, F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias(lettered))
     if model is None:
         return rows.select(*names, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.create_map().cast("map<string,bigint>").alias("positions"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by HIDDEN and the number of languages
@@ -230,7 +231,7 @@ def identify(docs: DataFrame, model: ByteGru | None, keep_text: bool = False) ->
 
     def run(batch):
         m = shared.value
-        texts = [x.encode() if x is not None else b"" for x in batch.column("_lettered").to_pylist()]
+        texts = [x.encode() if x is not None else b"" for x in batch.column(lettered).to_pylist()]
         total, labelled = m.pooled(texts)
         n = np.maximum([len(t) for t in texts], 1)
         best = total.argmax(1)

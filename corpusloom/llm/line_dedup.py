@@ -86,29 +86,32 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
     key = F.transform(lines_of(F.col("text")), line_key)
     pairs = F.transform(key, lambda k: F.when(F.char_length(k) >= min_chars, F.struct(F.xxhash64(k).alias("h"), F.hash(k).alias("g"))))
     # hashes in place of texts: the one pass over the texts but for the last
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("t"), F.coalesce(F.char_length("text"), F.lit(-1)).alias("l"), pairs.alias("keys"))
+    hashed = docs.select(F.monotonically_increasing_id().alias("r"), "doc_id", F.xxhash64("text").alias("t"), F.coalesce(F.char_length("text"), F.lit(-1)).alias("l"), pairs.alias("keys"))
     hashed = written(hashed.withColumn("batch", F.pmod(F.xxhash64("doc_id", "t"), F.lit(batches)).cast("int")))
     runs = LevelledRuns(spark, min_docs)
     for b in range(batches):
         batch = hashed.where(F.col("batch") == b)
-        runs.add(batch.select(F.explode(F.array_distinct("keys")).alias("k")).where("k is not null").select("k.h", "k.g"))
+        runs.add(batch.select("r", F.explode("keys").alias("k")).where("k is not null").select("r", "k.h", "k.g").distinct().select("h", "g"))
     common = written(runs.all_common())
 
     # a row is known by doc_id and its text's hash and length: rows that share all three lose the same lines
     per_text = hashed.select("doc_id", "t", "l", F.posexplode("keys").alias("pos", "k")).where("k is not null").select("doc_id", "t", "l", "pos", "k.h", "k.g")
-    lost = per_text.join(common, KEY, "left_semi").groupBy("doc_id", "t", "l").agg(F.collect_set("pos").alias("_lost"))
-    own = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    rows = docs.select(*own, "text", F.xxhash64("text").alias("_t"), F.coalesce(F.char_length("text"), F.lit(-1)).alias("_l"))
-    lost = lost.withColumnRenamed("doc_id", "_d")
-    rows = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("t")) & (F.col("_l") == F.col("l")), "left")
-    lines = lines_of(F.col("text"))
-    kept = F.filter(lines, lambda line, i: ~F.array_contains("_lost", i))
-    return rows.select(
-        *own,
-        F.when(F.col("_lost").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("text"),
+    places = F.sort_array(F.collect_set("pos"))
+    lost = per_text.join(common, KEY, "left_semi").groupBy("doc_id", "t", "l").agg(places.alias("places"))
+    # a byte for each line up to the last lost one, so that no line looks through the others
+    gaps = F.zip_with("places", F.slice(F.concat(F.array(F.lit(-1)), "places"), F.lit(1), F.size("places")), lambda a, b: F.concat(F.repeat(F.lit("0"), a - b - 1), F.lit("1")))
+    lost = lost.select(F.col("doc_id").alias("d"), "t", "l", F.size("places").alias("n"), F.encode(F.array_join(gaps, ""), "UTF-8").alias("flags"))
+    rows = docs.select(F.struct(*[c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]).alias("own"), "doc_id", F.col("text").alias("whole"), F.xxhash64("text").alias("rt"), F.coalesce(F.char_length("text"), F.lit(-1)).alias("rl"))
+    rows = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("rt") == F.col("t")) & (F.col("rl") == F.col("l")), "left")
+    lines = lines_of(F.col("whole"))
+    kept = F.filter(lines, lambda line, i: F.substring("flags", i + 1, F.lit(1)) != F.lit(b"1"))
+    rows = rows.select(
+        "own",
+        F.when(F.col("flags").isNull(), F.coalesce("whole", F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("text"),
         F.size(lines).cast("long").alias("n_lines"),
-        F.when(F.col("_lost").isNull(), 0).otherwise(F.size("_lost")).cast("long").alias("n_dropped"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n_dropped"),
     )
+    return rows.select("own.*", "text", "n_lines", "n_dropped")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ No source is sorted or collected as a whole: a source has at most MAX_BLOCKS blo
 
 Edge cases: a null or empty text has size 0 and is taken as often as its block, which adds no words; a null source is a
 source of its own, the last; rows that repeat (doc_id, source, size) are taken or left together; an empty table gives an
-empty table; further columns pass through unless they clash with the added ones, which then replace them.
+empty table; further columns pass through, but for one named shard, which the added one replaces.
 """
 
 from __future__ import annotations
@@ -175,13 +175,12 @@ def mix(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
     """The mixed rows: docs' columns and shard; a document taken twice has two rows. Every partition holds its part of each shard
     in a hashed order; write.partitionBy("shard") makes a folder for each."""
     plan = mix_plan(docs, seed=seed, **options).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.posexplode("shards").alias("_copy", "shard")).hint("merge")
-    own = [c for c in docs.columns if c not in ("shard", "_size")]
-    rows = docs.select(*own, word_count("text").alias("_size"))
-    rows = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
-    rows = rows.withColumn("_order", F.xxhash64(F.lit(seed + 4), "doc_id", "_copy"))
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "shard"]).alias("own"), "doc_id", "source", word_count("text").alias("size"))
+    rows = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_n")))
+    rows = rows.select("own", "shard", F.xxhash64(F.lit(seed + 4), "doc_id", "_copy").alias("order"))
     # a sort-merge join (asked for above) has spread the documents by a hash of their keys, so every partition holds a random part of each shard: it is
     # shuffled where it lies, and the texts move once
-    return rows.sortWithinPartitions("shard", "_order").select(*own, "shard")
+    return rows.sortWithinPartitions("shard", "order").select("own.*", "shard")
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,14 @@ def range_bits(docs: DataFrame, rows: int, size: int, most: int = 29) -> int:
     return min(most, max(4, ceil(log2(max(1, n / rows, (total or 0) / size)))))
 
 
+def unused(name: str, names: list[str]) -> str:
+    """A name like this one that none of the names equals, whatever their case."""
+    taken = {n.lower() for n in names}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

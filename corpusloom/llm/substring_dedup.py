@@ -1,18 +1,19 @@
 """Suffix-array dedup: passages of 50 bytes that occur in a document with a smaller doc_id, found by a logarithmic index family.
 
 Suffixes. A suffix array of every byte would be many times the text, so the arrays are sparse: of each window of ``length``
-bytes, the suffix whose first 16 bytes have the least hash enters it. Equal windows choose the same suffix at the same
-offset, so no repeat is missed. An entry is the suffix's first 16 bytes, a hash of the segment that its windows cover, the
-document and the number of the suffix in it. Arrays are sorted by these bytes, then by the segment.
+bytes, the suffix whose first 12 bytes have the least hash enters it. Equal windows choose the same suffix at the same
+offset, so no repeat is missed. An entry is the suffix's first 12 bytes, a hash of the segment that its windows cover, the
+document, its place in it, and short hashes of the bytes on either side. Arrays are sorted by these bytes.
 
-Index family. Batches of ascending doc_id arrive in turn. A batch's entries form a suffix array; in a merge-scan with the
-arrays of all levels, entries whose segment an earlier document has are found, and at the end of it the batch and the levels
-of equal size are merged into one array of the next level, as in a binary counter. Each scan and merge runs by ranges of
-suffixes, spread by hash. An array keeps one document for each segment, the smallest.
+Index family. Batches of ascending doc_id arrive in turn. A task's entries are sorted runs; by ranges of suffixes, spread by
+hash, the batch's runs and the arrays of all levels are merged, and in the same scan entries whose segment an earlier document
+has are found. The batch and the levels of equal size become one array of the next level, as in a binary counter. An array
+keeps one document for each segment, the smallest. What is found leaves as packed blocks by bucket of documents.
 
 Partial matches. Suffixes that agree while their segments differ (at the ends of a repeat) are compared window by window on
-the texts themselves, after the last batch. Suffixes with very many different segments are found in a sample first: their
-entries are spread by segment too, and their windows compared by an aggregate, which sums on the map side.
+the texts themselves, after the last batch. A common window reaches half its further bytes at least to one side, so only
+suffixes that agree with another document's on one side are compared. Suffixes with very many different segments are found in
+a sample first: their entries are spread by segment too, and their windows compared by an aggregate, which sums on the map side.
 
 Repeated entries of a task are folded before they are shuffled, so a text with very many copies costs one entry a task.
 
@@ -30,39 +31,62 @@ from pyspark.sql import functions as F
 from corpusloom.llm.shingles import mixed
 from corpusloom.llm.store import cut_points, forget, in_batches, range_bits, read, release, shared_dir, union_all, written
 
-LENGTH, SUFFIX = 50, 16
+LENGTH, SUFFIX = 50, 12
 BATCHES = 4
-FLUSH = 100_000
-RANGE_BYTES = 1_000_000
+FLUSH = 250_000
+RANGE_BYTES = 2_000_000
+#: Documents of a bucket of marks, and marks that a task holds before they leave it.
+BUCKET_DOCS, MARKS = 2000, 500_000
 #: A suffix with so many different segments among one in HOT_SHARE documents is hot: it is not brought together in one task.
 HOT_SHARE, HOT_SEEN, HOT_MOST = 64, 32, 100_000
 #: So many windows of hot suffixes, the most frequent ones, are told to all tasks.
 HEAVY_WINDOWS = 20_000
-CHUNK = (1 << 20) - 256
+CHUNK = (1 << 20) - 1024
+#: Texts up to so many bytes are hashed together.
+BUFFER = 1 << 16
 _BASE = 0xD1342543DE82EF95
 _VALUE = np.random.default_rng(50).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_SCALE = {w: np.uint64(pow(_BASE, w, 1 << 64)) for w in (1, 2, 4, 8)}
+_SCALE = {w: np.uint64(pow(_BASE, w, 1 << 64)) for w in (1, 2, 4)}
 _up = np.cumprod(np.r_[np.uint64(1), np.full(1 << 20, _BASE, np.uint64)])
 _down = np.cumprod(np.r_[np.uint64(1), np.full(1 << 20, pow(_BASE, -1, 1 << 64), np.uint64)])
-WIDTHS = (8, 8, 5, 8, 2, 4)  # bytes of an entry's parts: suffix (two), segment hash, doc_id, tag, number
-_SIGN = np.uint64(1 << 63)
-
-
-def suffixes(raw: bytes, length: int = LENGTH):
-    """Of each chosen suffix: its hash, the hash of its segment (40 bits), the first and last start of its windows, and its place."""
-    parts = [_chunk(np.frombuffer(raw, np.uint8, min(CHUNK + length - 1, len(raw) - c), c), c, length) for c in range(0, max(0, len(raw) - length + 1), CHUNK)]
-    if not parts:
-        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-
-
-def _chunk(b: np.ndarray, offset: int, length: int):
+#: An entry's bytes: suffix, segment hash, doc_id, tag, place, hashes of the left and of the right side; integers big-endian.
+#: A place is the start of the first window, how far on the last one starts, and how far on the suffix does.
+SEGMENT, DOC, TAG, PLACE, SIDES, ENTRY = SUFFIX, SUFFIX + 5, SUFFIX + 13, SUFFIX + 15, SUFFIX + 21, SUFFIX + 25
+#: A mark is the doc_id, tag and place of an entry. Kinds of rows: array blocks, and marks of covered entries, of entries to compare, and of those of hot suffixes.
+MARK = SIDES - DOC
+ARRAY, COVERED, ASKED, HOT = range(4)
+ROWS = "kind int, p int, block binary"
+
+
+def suffixes(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Of each chosen suffix of each text: the text's number, its hash, the hash of its segment (40 bits), the first and last start of
+    its windows, its place, and hashes of the bytes on either side (16 bits)."""
+    parts, held, size = [], [], 0
+    for i, raw in enumerate(texts):
+        for c in range(0, max(0, len(raw) - length + 1), CHUNK):
+            piece = raw[c : c + CHUNK + length - 1]
+            if held and size + len(piece) > BUFFER:
+                parts.append(_buffer(held, length))
+                held, size = [], 0
+            held.append((i, c, piece))
+            size += len(piece)
+    if held:
+        parts.append(_buffer(held, length))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+
+
+def _buffer(pieces: list[tuple[int, int, bytes]], length: int):
+    """The suffixes of pieces of texts (text, place in it, bytes) that are hashed together; no window crosses pieces."""
+    text, offset, size = (np.array(x) for x in zip(*((i, c, len(x)) for i, c, x in pieces), strict=True))
+    end = np.cumsum(size)
+    begin = end - size
+    b = np.frombuffer(b"".join(x for *_, x in pieces), np.uint8)
     value = _VALUE[b]
     h, w = value, 1
-    while w < SUFFIX:
-        h = h[:-w] * _SCALE[w] + h[w:]
+    while w * 2 < SUFFIX:
+        h, half = h[:-w] * _SCALE[w] + h[w:], h
         w *= 2
-    h = mixed(h)
+    h = mixed(h[: -(SUFFIX - w)] * _SCALE[SUFFIX - w] + half[w : len(half) - (SUFFIX - w - w // 2)])
     n, span = len(h), length - SUFFIX + 1
     low = np.uint64((1 << 20) - 1)
     m, w = (h & ~low) | (low - np.arange(n, dtype=np.uint64)), 1  # of equal hashes, the last in the window
@@ -70,64 +94,71 @@ def _chunk(b: np.ndarray, offset: int, length: int):
         m = np.minimum(m[:-w], m[w:])
         w *= 2
     m = np.minimum(m[: n - span + 1], m[span - w :])
-    first = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
+    new = np.r_[True, m[1:] != m[:-1]]
+    new[begin[begin < len(m)]] = True
+    first = np.flatnonzero(new)
     last = np.r_[first[1:], len(m)] - 1
+    piece = np.searchsorted(end, first, "right")
+    last = np.minimum(last, end[piece] - length)
+    inside = first <= last
+    first, last, piece = first[inside], last[inside], piece[inside]
     at = (low - (m[first] & low)).astype(np.int64)
     sums = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(value * _up[: len(b)], out=sums[1:])
     seg = (sums[last + length] - sums[first]) * _down[first]
     seg = mixed(seg + (at - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (last - first).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(24)
-    return h[at], seg, first + offset, last + offset, at + offset
+    side = (length - SUFFIX + 1) // 2
+    after, until, since = at + SUFFIX, np.minimum(at + SUFFIX + side, end[piece]), np.maximum(at - side, begin[piece])
+    left = mixed((sums[at] - sums[since]) * _down[since] + (at - since).astype(np.uint64)) >> np.uint64(48)
+    right = mixed((sums[until] - sums[after]) * _down[after] + (until - after).astype(np.uint64)) >> np.uint64(48)
+    move = offset[piece] - begin[piece]
+    return text[piece], h[at], seg, first + move, last + move, at + move, left, right
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """True where sorted rows differ from those before them."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
 
 
-def _suffix_bytes(raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 16 bytes from each place on, as two numbers that sort as the bytes do."""
-    b = np.frombuffer(raw, np.uint8)
-    x = b[at[:, None] + np.arange(SUFFIX)]
-    x = np.ascontiguousarray(x).view(">u8").astype(np.uint64)
-    return x[:, 0], x[:, 1]
+def _bytes(x: np.ndarray, width: int) -> np.ndarray:
+    return x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :]
 
 
-def _planes(x: np.ndarray, width: int) -> bytes:
-    return x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].T.tobytes()
+def _planes(rows: np.ndarray) -> bytes:
+    """Rows of bytes as all first bytes, all second ones, and so on, which compress better."""
+    return rows.T.tobytes()
 
 
-def _block(entries: tuple[np.ndarray, ...]) -> bytes:
-    return b"".join(_planes(x, w) for x, w in zip(entries, WIDTHS, strict=True))
+def _unplanes(blocks: list[bytes], width: int) -> np.ndarray:
+    return np.ascontiguousarray(np.concatenate([np.empty((0, width), np.uint8), *(np.frombuffer(b, np.uint8).reshape(width, -1).T for b in blocks)]))
 
 
-def _entries(blocks) -> tuple[np.ndarray, ...]:
-    """The entries of several blocks, in parts as in WIDTHS."""
-    parts = []
-    for b in blocks:
-        n, at, own = len(b) // sum(WIDTHS), 0, []
-        for w in WIDTHS:
-            out = np.zeros((n, 8), np.uint8)
-            out[:, 8 - w :] = np.frombuffer(b, np.uint8, n * w, at).reshape(w, n).T
-            own.append(out.view(">u8").ravel().astype(np.uint64))
-            at += n * w
-        parts.append(own)
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else tuple(np.empty(0, np.uint64) for _ in WIDTHS)
+def _merged(rows: np.ndarray, width: int) -> np.ndarray:
+    """The order of rows of bytes by their first ``width``; sorted runs are merged."""
+    return np.argsort(np.ascontiguousarray(rows[:, :width]).view(f"S{width}").ravel(), kind="stable")
 
 
-def _runs(*keys: np.ndarray) -> np.ndarray:
-    """True where sorted rows differ from those before them."""
-    new = np.zeros(len(keys[0]), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
+def _starts(rows: np.ndarray, width: int) -> np.ndarray:
+    """True where sorted rows differ from those before them in their first bytes."""
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:, :width] != rows[:-1, :width]).any(axis=1)
     return new
 
 
-def _by_doc(doc, tag, number):
-    """(doc_id, tag, numbers) of entries, one row a document."""
-    order = np.lexsort((tag, doc))
-    doc, tag, number = doc[order], tag[order], number[order]
-    edge = np.r_[np.flatnonzero(_runs(doc, tag)), len(doc)]
-    return [((int(doc[a]) ^ (1 << 63)) - (1 << 64) if int(doc[a]) < 1 << 63 else int(doc[a]) ^ (1 << 63), int(tag[a]), number[a:z].astype("<u4").tobytes()) for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+def _number(rows: np.ndarray, at: int, to: int) -> np.ndarray:
+    out = np.zeros((len(rows), 8), np.uint8)
+    out[:, 8 - (to - at) :] = rows[:, at:to]
+    return out.view(">u8").ravel().astype(np.uint64)
 
 
-ROWS = "p int, block binary, doc_id long, tag int, numbers binary"
+def _covered(rows: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of sorted entries, those whose segment a smaller document has."""
+    new = _starts(rows, DOC)
+    return doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
 
 
 def hot_suffixes(docs: DataFrame, length: int) -> np.ndarray:
@@ -135,9 +166,8 @@ def hot_suffixes(docs: DataFrame, length: int) -> np.ndarray:
     import pyarrow as pa
 
     def run(batch):
-        for text in batch.column("text").to_pylist():
-            h, seg, *_ = suffixes((text or "").encode(), length)
-            yield [pa.array(h.view(np.int64)), pa.array(seg.view(np.int64))]
+        _, h, seg, *_ = suffixes([(text or "").encode() for text in batch.column("text").to_pylist()], length)
+        yield [pa.array(h.view(np.int64)), pa.array(seg.view(np.int64))]
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(64)), F.lit(HOT_SHARE)) == 0)
     seen = in_batches(sample.select("text"), run, "h long, seg long", 500).distinct().groupBy("h").count().where(F.col("count") >= HOT_SEEN)
@@ -149,130 +179,200 @@ def _is_in(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def batch_entries(docs: DataFrame, bits: int, length: int, hot) -> DataFrame:
-    """Blocks (p, block) of the batch's entries, those of hot suffixes in ranges from 2^bits on, and rows (doc_id, tag, numbers) of those that a smaller document of the same task covers."""
+    """Sorted runs of the batch's entries, as blocks by range of suffixes, those of hot suffixes in ranges from 2^bits on; and
+    the marks of those that a smaller document of the same task covers, in any range."""
     import pyarrow as pa
 
-    arrow = pa.schema([("p", pa.int32()), ("block", pa.binary()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("numbers", pa.binary())])
-
     def flush(held):
-        h, *entry = (np.concatenate(x) for x in zip(*held, strict=True))
-        seg, doc, tag = entry[2], entry[3], entry[4]
-        order = np.lexsort((doc, seg, h))
-        h, (k1, k2, seg, doc, tag, number) = h[order], (x[order] for x in entry)
-        new = _runs(h, seg)
-        covered = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        gone = _by_doc(doc[covered], tag[covered], number[covered])
-        h, *keep = (x[~covered] for x in (h, k1, k2, seg, doc, tag, number))
-        top = (h >> np.uint64(64 - bits)).astype(np.int64)
+        h, rows = (np.concatenate(x) for x in zip(*held, strict=True))
+        p = (h >> np.uint64(64 - bits)).astype(np.int64)
         apart = np.flatnonzero(_is_in(h, hot.value))
         if len(apart):
-            top[apart] = (mixed(h[apart] + keep[2][apart]) >> np.uint64(64 - bits)).astype(np.int64) + (1 << bits)
-            order = np.argsort(top, kind="stable")
-            top, keep = top[order], [x[order] for x in keep]
-        edge = np.r_[np.flatnonzero(_runs(top)), len(top)]
-        rows = [(int(top[a]), _block([x[a:z] for x in keep]), None, None, None) for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-        rows += [(None, None, *g) for g in gone]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+            p[apart] = (mixed(h[apart] + _number(rows[apart], SEGMENT, DOC)) >> np.uint64(64 - bits)).astype(np.int64) + (1 << bits)
+        order = _merged(np.concatenate([_bytes(p, 4), rows], axis=1), 4 + TAG)
+        p, rows = p[order], rows[order]
+        gone = _covered(rows, _number(rows, DOC, TAG))
+        any_range = int(p[int(_number(rows[:1], DOC, TAG)[0] % np.uint64(len(p)))])
+        marks = [(COVERED, any_range, _planes(rows[gone, DOC:SIDES]))] if gone.any() else []
+        p, rows = p[~gone], rows[~gone]
+        edge = np.r_[0, np.flatnonzero(p[1:] != p[:-1]) + 1, len(p)].tolist()
+        out = [(ARRAY, int(p[a]), _planes(rows[a:z])) for a, z in zip(edge[:-1], edge[1:], strict=True)] + marks
+        return [list(x) for x in zip(*out, strict=True)]
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for doc_id, tag, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text")), strict=True):
-                raw = (text or "").encode()
-                h, seg, _, _, at = suffixes(raw, length)
+            own = batch.select(["doc_id", "tag"]).to_pandas()
+            texts = [(text or "").encode() for text in batch.column("text").to_pylist()]
+            for part in _parts(texts):
+                text, h, seg, first, last, at, left, right = suffixes(texts[part], length)
                 if not len(h):
                     continue
-                k1, k2 = _suffix_bytes(raw, at)
-                held.append((h, k1, k2, seg, np.full(len(h), doc_id ^ -(1 << 63), np.int64).view(np.uint64), np.full(len(h), tag, np.uint64), np.arange(len(h), dtype=np.uint64)))
+                joined = np.frombuffer(b"".join(texts[part]), np.uint8)
+                begin = np.cumsum([0, *map(len, texts[part])])[text]
+                rows = np.empty((len(h), ENTRY), np.uint8)
+                rows[:, :SUFFIX] = joined[(begin + at)[:, None] + np.arange(SUFFIX)]
+                rows[:, SEGMENT:DOC] = _bytes(seg, 5)
+                rows[:, DOC:TAG] = _bytes(own["doc_id"].to_numpy()[part][text].view(np.uint64) ^ np.uint64(1 << 63), 8)
+                rows[:, TAG:PLACE] = _bytes(own["tag"].to_numpy()[part][text], 2)
+                rows[:, PLACE : PLACE + 4], rows[:, PLACE + 4], rows[:, PLACE + 5] = _bytes(first, 4), last - first, at - first
+                rows[:, SIDES : SIDES + 2], rows[:, SIDES + 2 :] = _bytes(left, 2), _bytes(right, 2)
+                held.append((h, rows))
                 size += len(h)
                 if size >= FLUSH:
-                    yield flush(held)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(flush(held), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["kind", "p", "block"])
                     held, size = [], 0
         if size:
-            yield flush(held)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(flush(held), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["kind", "p", "block"])
 
     _small_batches(docs.sparkSession)
     return docs.select("doc_id", "tag", "text").mapInArrow(run, ROWS)
 
 
+def _parts(texts: list[bytes], most: int = 1 << 21):
+    """Slices of texts of about so many bytes."""
+    a, size = 0, 0
+    for z, text in enumerate(texts):
+        if z > a and size + len(text) > most:
+            yield slice(a, z)
+            a, size = z, 0
+        size += len(text)
+    yield slice(a, len(texts))
+
+
 def _small_batches(spark: SparkSession, rows: int = 500) -> None:
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def merge_scan(blocks: DataFrame, merge: list[int], last: bool, bits: int) -> DataFrame:
-    """blocks (level, p, block), level -1 for the batch. Rows as in ROWS: of the batch's entries those covered by an earlier
-    document (tag kept, p null); the merged array of the batch and the levels in ``merge`` (p, block). After the last batch,
-    in place of an array, entries whose suffix occurs with several segments (p -1), and those of hot suffixes (p -2)."""
-    import pandas as pd
+def _agree(group: np.ndarray, doc: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Entries whose group has another document with the same side."""
+    key = (group << 16) | side.astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    key, own = key[order], doc[order]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[start, len(key)])
+    out = np.empty(len(key), bool)
+    out[order] = np.repeat(np.minimum.reduceat(own, start) < np.maximum.reduceat(own, start), size)
+    return out
 
-    def run(pdf):
-        level = pdf["level"].to_numpy()
-        sizes = np.array([len(b) // sum(WIDTHS) for b in pdf["block"]])
-        k1, k2, seg, doc, tag, number = _entries(pdf["block"])
-        level = np.repeat(level, sizes)
-        order = np.lexsort((doc, seg, k2, k1))
-        k1, k2, seg, doc, tag, number, level = (x[order] for x in (k1, k2, seg, doc, tag, number, level))
-        new = _runs(k1, k2, seg)
-        covered = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        fresh = covered & (level < 0)
-        rows = [(None, None, *g) for g in _by_doc(doc[fresh], tag[fresh], number[fresh])]
-        if last:
-            suffix = _runs(k1, k2)
-            group = np.cumsum(suffix) - 1
-            mixed_up = np.bincount(group, new)[group] > 1
-            several = np.minimum.reduceat(doc, np.flatnonzero(suffix))[group] < np.maximum.reduceat(doc, np.flatnonzero(suffix))[group] if len(doc) else mixed_up
-            hot = pdf["p"].iloc[0] >= 1 << bits
-            ask = (mixed_up & several | hot) & ~covered
-            rows += [(-2 if hot else -1, None, *g) for g in _by_doc(doc[ask], tag[ask], number[ask])]
-        else:
-            keep = ~covered & np.isin(level, [-1, *merge])
-            if keep.any():
-                rows.append((int(pdf["p"].iloc[0]), _block([x[keep] for x in (k1, k2, seg, doc, tag, number)]), None, None, None))
-        out = pd.DataFrame(rows, columns=["p", "block", "doc_id", "tag", "numbers"])
-        return out.astype({"p": "Int32", "doc_id": "Int64", "tag": "Int32"})
 
-    return blocks.groupBy("p").applyInPandas(run, ROWS)
+def merge_scan(blocks: DataFrame, merge: list[int], last: bool, bits: int, buckets: int) -> DataFrame:
+    """blocks (level, kind, p, block), level -1 for the batch. Rows as in ROWS: marks of the batch's entries that an earlier document
+    covers, p the bucket of documents; the merged array of the batch and the levels in ``merge``. After the last batch, in place
+    of an array, marks of entries that share a side with a different segment, and of all those of hot suffixes."""
+    import pyarrow as pa
+
+    def run(table):
+        kind, level, p = (table.column(c).to_numpy() for c in ("kind", "level", "p"))
+        block = table.column("block").to_pylist()
+        out = [(COVERED, 0, b) for k, b in zip(kind.tolist(), block, strict=True) if k == COVERED]
+        runs = [i for i in np.argsort(-level, kind="stable").tolist() if kind[i] == ARRAY]
+        rows = _unplanes([block[i] for i in runs], ENTRY)
+        if len(rows):
+            level = np.repeat(level[runs], [len(block[i]) // ENTRY for i in runs])
+            order = _merged(rows, TAG)
+            rows, level = rows[order], level[order]
+            doc = _number(rows, DOC, TAG)
+            gone = _covered(rows, doc)
+            fresh = gone & (level < 0)
+            if fresh.any():
+                out.append((COVERED, 0, _planes(rows[fresh, DOC:SIDES])))
+            if last:
+                rows, doc = rows[~gone], doc[~gone]
+                hot = p[0] >= 1 << bits
+                if not hot:
+                    group = np.cumsum(_starts(rows, SUFFIX))
+                    ask = _agree(group, doc, _number(rows, SIDES, SIDES + 2)) | _agree(group, doc, _number(rows, SIDES + 2, ENTRY))
+                    rows = rows[ask]
+                if len(rows):
+                    out.append((HOT if hot else ASKED, 0, _planes(rows[:, DOC:SIDES])))
+            else:
+                keep = ~gone & np.isin(level, [-1, *merge])
+                if keep.any():
+                    out.append((ARRAY, int(p[0]), _planes(rows[keep])))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)] if out else [pa.array([], t) for t in (pa.int32(), pa.int32(), pa.binary())], names=["kind", "p", "block"])
+
+    def packed(held):
+        """Marks of several ranges by kind and bucket of documents."""
+        out = []
+        for kind, blocks in held.items():
+            marks = _unplanes(blocks, MARK)
+            bucket = (mixed(_number(marks, 0, 8)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket, marks = bucket[order], marks[order]
+            edge = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)].tolist()
+            out += [(kind, int(bucket[a]), _planes(marks[a:z])) for a, z in zip(edge[:-1], edge[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["kind", "p", "block"])
+
+    def pack(batches):
+        held, size = {}, 0
+        for batch in batches:
+            array = batch.column("kind").to_numpy() == ARRAY
+            yield batch.filter(array)
+            for kind, block in zip(*(batch.filter(~array).column(c).to_pylist() for c in ("kind", "block")), strict=True):
+                held.setdefault(kind, []).append(block)
+                size += len(block) // MARK
+                if size >= MARKS:
+                    yield packed(held)
+                    held, size = {}, 0
+        if size:
+            yield packed(held)
+
+    return blocks.groupBy("p").applyInArrow(run, ROWS).mapInArrow(pack, ROWS)
+
+
+def per_document(marks: DataFrame) -> DataFrame:
+    """Packed marks by bucket of documents -> (kind, doc_id, tag, places): one row for each kind and document."""
+    import pyarrow as pa
+
+    def run(table):
+        kind, blocks = table.column("kind").to_numpy(), table.column("block").to_pylist()
+        kinds = np.repeat(kind, [len(b) // MARK for b in blocks]).astype(np.uint8)
+        rows = np.concatenate([kinds[:, None], _unplanes(blocks, MARK)], axis=1)
+        rows = rows[_merged(rows, 1 + MARK)]
+        rows = rows[_starts(rows, 1 + MARK)]
+        at = np.flatnonzero(_starts(rows, 11))
+        edge = (np.r_[at, len(rows)] * (MARK - 10)).astype(np.int64)
+        doc = (_number(rows[at], 1, 9) ^ np.uint64(1 << 63)).view(np.int64)
+        binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(rows[:, 11:].tobytes())]).cast(pa.binary())
+        return pa.table([pa.array(rows[at, 0].astype(np.int32)), pa.array(doc), pa.array(_number(rows[at], 9, 11).astype(np.int32)), binary], names=["kind", "doc_id", "tag", "places"])
+
+    return marks.groupBy("p").applyInArrow(run, "kind int, doc_id long, tag int, places binary")
 
 
 class SuffixIndex:
     """The family of arrays: level k holds the entries of 2^k batches, or is empty. ``add`` takes batches of ascending doc_id."""
 
-    def __init__(self, spark: SparkSession, bits: int, length: int, hot):
-        self.spark, self.bits, self.length, self.hot = spark, bits, length, hot
+    def __init__(self, spark: SparkSession, bits: int, length: int, hot, buckets: int):
+        self.spark, self.bits, self.length, self.hot, self.buckets = spark, bits, length, hot, buckets
         self.levels: dict[int, str] = {}
-        self.covered: list[DataFrame] = []
-        self.asked: DataFrame | None = None
+        self.marks: list[DataFrame] = []
 
     def add(self, docs: DataFrame, last: bool = False) -> None:
-        spark, path = self.spark, shared_dir(self.spark)
-        made = written(batch_entries(docs, self.bits, self.length, self.hot), path)
-        self._note(made.where("doc_id is not null"))
-        merge = []
+        spark, merge = self.spark, []
         while len(merge) in self.levels and not last:
             merge.append(len(merge))
-        sides = [made.where("p is not null").select(F.lit(-1).alias("level"), "p", "block")]
+        sides = [batch_entries(docs, self.bits, self.length, self.hot).select(F.lit(-1).alias("level"), "kind", "p", "block")]
         for k, at in self.levels.items():
-            sides.append(spark.read.schema(ROWS).parquet(at).where("block is not null").select(F.lit(k).alias("level"), "p", "block"))
+            sides.append(spark.read.schema(ROWS).parquet(at).where(F.col("kind") == ARRAY).select(F.lit(k).alias("level"), "kind", "p", "block"))
         to = shared_dir(spark)
-        out = written(merge_scan(union_all(sides), merge, last, self.bits), to)
-        self._note(out.where("p is null"))
-        if last:
-            self.asked = out.where("p < 0").select("p", "doc_id", "tag", "numbers")
-        for used in [path, *(self.levels.pop(k) for k in (list(self.levels) if last else merge))]:
+        out = written(merge_scan(union_all(sides), merge, last, self.bits, self.buckets), to)
+        self.marks.append(written(out.where(F.col("kind") != ARRAY)))  # apart from the arrays, which go when they are merged
+        for used in [self.levels.pop(k) for k in (list(self.levels) if last else merge)]:
             forget(spark, used)
-        if not last:
+        if last:
+            forget(spark, to)
+        else:
             self.levels[len(merge)] = to
         release(spark)
 
-    def _note(self, found: DataFrame) -> None:
-        """Keeps entries that are covered apart from the arrays, which go when they are merged."""
-        self.covered.append(written(found.select("doc_id", "tag", "numbers")))
-
 
-def _numbers(column: str):
-    """Rows of one document brought together: binary parts as one."""
-    return F.expr(f"unhex(array_join(transform(collect_list({column}), x -> hex(x)), ''))")
+def _places(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first and last start of the windows of marked suffixes, and how far on from the first the suffix is."""
+    rows = np.frombuffer(raw, np.uint8).reshape(-1, MARK - 10)
+    first = _number(rows, 0, 4).astype(np.int64)
+    return first, first + rows[:, 4], rows[:, 5].astype(np.int64)
 
 
 def window_matches(docs: DataFrame, asked: DataFrame, bits: int, length: int) -> DataFrame:
@@ -280,22 +380,22 @@ def window_matches(docs: DataFrame, asked: DataFrame, bits: int, length: int) ->
     import pandas as pd
     import pyarrow as pa
 
-    sides = [asked.where(F.col("p") == p).groupBy("doc_id", "tag").agg(_numbers("numbers").alias("numbers")) for p in (-1, -2)]
-    texts, warm = (docs.join(side, ["doc_id", "tag"]) for side in sides)
+    texts, warm = (docs.join(asked.where(F.col("kind") == kind), ["doc_id", "tag"]) for kind in (ASKED, HOT))
 
     def cut(batch):
-        for doc_id, tag, text, numbers in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text", "numbers")), strict=True):
+        for doc_id, tag, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text", "places")), strict=True):
             raw = text.encode()
-            h, _, first, last, at = (x[np.unique(np.frombuffer(numbers, "<u4"))] for x in suffixes(raw, length))
-            n = len(h)
+            first, last, ahead = _places(places)
+            n = len(first)
+            h = mixed((_VALUE[np.frombuffer(raw, np.uint8)[(first + ahead)[:, None] + np.arange(SUFFIX)]] * _up[:SUFFIX]).sum(axis=1, dtype=np.uint64))
             ranges = (h >> np.uint64(64 - bits)).astype(np.int32)
-            yield [pa.array(ranges), pa.array(h.view(np.int64)), pa.array([doc_id] * n, pa.int64()), pa.array([tag] * n, pa.int32()), pa.array(first), pa.array((at - first).astype(np.int32)), [raw[a : z + length] for a, z in zip(first.tolist(), last.tolist(), strict=True)]]
+            yield [pa.array(ranges), pa.array([doc_id] * n, pa.int64()), pa.array([tag] * n, pa.int32()), pa.array(first), pa.array(ahead.astype(np.int32)), [raw[a : z + length] for a, z in zip(first.tolist(), last.tolist(), strict=True)]]
 
-    segments = in_batches(texts.select("doc_id", "tag", "text", "numbers"), cut, "p int, h long, doc_id long, tag int, first long, ahead int, bytes binary", 500)
+    segments = in_batches(texts.select("doc_id", "tag", "text", "places"), cut, "p int, doc_id long, tag int, first long, ahead int, bytes binary", 500)
 
     def compare(pdf):
         sizes = pdf["bytes"].str.len().to_numpy()
-        doc, h = pdf["doc_id"].to_numpy(), pdf["h"].to_numpy().view(np.uint64)
+        doc = pdf["doc_id"].to_numpy()
         count = sizes - length + 1
         rows, window, pieces, at = np.repeat(np.arange(len(pdf)), count), [], [], 0
         while at < len(pdf):  # hashes of the windows, for about a million bytes at a time
@@ -311,7 +411,7 @@ def window_matches(docs: DataFrame, asked: DataFrame, bits: int, length: int) ->
             at = to
         inner = np.concatenate(pieces)
         ahead = pdf["ahead"].to_numpy()[rows] - inner
-        key = mixed(np.concatenate(window) + h[rows] * np.uint64(3) + ahead.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        key = mixed(np.concatenate(window) + ahead.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         order = np.lexsort((doc[rows], key))
         new = _runs(key[order])
         least = doc[rows][order][np.flatnonzero(new)][np.cumsum(new) - 1]
@@ -324,7 +424,7 @@ def window_matches(docs: DataFrame, asked: DataFrame, bits: int, length: int) ->
         return pd.DataFrame({"doc_id": doc[rows[a]], "tag": pdf["tag"].to_numpy()[rows[a]], "start": first[rows[a]] + inner[a], "stop": first[rows[a]] + inner[z] + length})
 
     found = segments.groupBy("p").applyInPandas(compare, "doc_id long, tag int, start long, stop long")
-    if not asked.where("p = -2").isEmpty():
+    if not asked.where(F.col("kind") == HOT).isEmpty():
         found = found.unionByName(written(hot_matches(warm, length)))
     return found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
 
@@ -335,23 +435,21 @@ def hot_matches(texts: DataFrame, length: int) -> DataFrame:
     import pyarrow as pa
 
     def windows(batch):
-        for doc_id, tag, text, numbers in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text", "numbers")), strict=True):
+        for doc_id, tag, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text", "places")), strict=True):
             raw = text.encode()
-            own = np.unique(np.frombuffer(numbers, "<u4"))
-            h, _, first, last, at = (x[own] for x in suffixes(raw, length))
+            first, last, aheads = _places(places)
             keys, starts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for x, a, z, place in zip(h, first.tolist(), last.tolist(), at.tolist(), strict=True):
+            for a, z, far in zip(first.tolist(), last.tolist(), aheads.tolist(), strict=True):
                 b = np.frombuffer(raw, np.uint8, z - a + length, a)
                 sums = np.r_[np.uint64(0), np.cumsum(_VALUE[b] * _up[: len(b)], dtype=np.uint64)]
                 s = np.arange(z - a + 1)
                 value = (sums[s + length] - sums[s]) * _down[s]
-                ahead = (place - a - s).astype(np.uint64)
-                keys.append(mixed(value + x * np.uint64(3) + ahead * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
+                keys.append(mixed(value + (far - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
                 starts.append(s + a)
             keys, starts = np.concatenate(keys), np.concatenate(starts)
             yield [pa.array(keys), pa.array([doc_id] * len(keys), pa.int64()), pa.array([tag] * len(keys), pa.int32()), pa.array(starts)]
 
-    seen = written(in_batches(texts.select("doc_id", "tag", "text", "numbers"), windows, "key long, doc_id long, tag int, start long", 500))
+    seen = written(in_batches(texts.select("doc_id", "tag", "text", "places"), windows, "key long, doc_id long, tag int, start long", 500))
     shared = seen.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("least < most")
     shared = written(shared.select("key", "least", "n"))
     heavy = written(shared.orderBy(F.desc("n"), "key").limit(HEAVY_WINDOWS).select("key", "least"))
@@ -363,36 +461,38 @@ def hot_matches(texts: DataFrame, length: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_bytes, spans (maximal removed runs of bytes) and kept (binary)."""
+    if not SUFFIX < length <= 255 + SUFFIX:
+        raise ValueError(f"length must be from {SUFFIX + 1} to {255 + SUFFIX}")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     again = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
     tag = F.pmod(F.xxhash64("text"), F.lit(65_536)).cast("int") if again else F.lit(0)
     docs = docs.withColumn("tag", tag)
     known = docs.where("doc_id is not null")
-    bits = range_bits(docs, 500, RANGE_BYTES)
+    bits = range_bits(docs, 1000, RANGE_BYTES)
     cuts = cut_points(known, "doc_id", batches, 0.001)
     hot = spark.sparkContext.broadcast(hot_suffixes(known, length))
-    index = SuffixIndex(spark, bits, length, hot)
+    index = SuffixIndex(spark, bits, length, hot, max(1, known.count() // BUCKET_DOCS))
     for i in range(len(cuts) + 1):
         batch = known if not cuts else known.where((F.col("doc_id") > cuts[i - 1] if i else F.lit(True)) & (F.col("doc_id") <= cuts[i] if i < len(cuts) else F.lit(True)))
         index.add(batch, last=i == len(cuts))
-    ranges = written(window_matches(known, index.asked, bits, length))
+    found = written(per_document(union_all(index.marks)))
+    ranges = written(window_matches(known, found, bits, length))
     release(spark)
-    covered = union_all(index.covered).groupBy("doc_id", "tag").agg(_numbers("numbers").alias("numbers"))
+    covered = found.where(F.col("kind") == COVERED).select("doc_id", "tag", "places")
     marks = written(covered.join(ranges, ["doc_id", "tag"], "full"))
     release(spark)
     rows = docs.join(marks, ["doc_id", "tag"], "left")
 
     def cut(batch):
         out = []
-        for text, numbers, found in zip(*(batch.column(c).to_pylist() for c in ("text", "numbers", "ranges")), strict=True):
+        for text, places, found in zip(*(batch.column(c).to_pylist() for c in ("text", "places", "ranges")), strict=True):
             raw = (text or "").encode()
             turn = np.zeros(len(raw) + 1, np.int64)
-            if numbers:
-                _, _, first, last, _ = suffixes(raw, length)
-                own = np.unique(np.frombuffer(numbers, "<u4"))
-                np.add.at(turn, first[own], 1)
-                np.add.at(turn, last[own] + length, -1)
+            if places:
+                first, last, _ = _places(places)
+                np.add.at(turn, first, 1)
+                np.add.at(turn, last + length, -1)
             for r in found or []:
                 turn[r["start"]] += 1
                 turn[r["stop"]] -= 1
@@ -402,7 +502,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
             out.append((len(raw), [{"start": a, "stop": z} for a, z in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True)], kept))
         yield [batch.column("doc_id"), *map(list, zip(*out, strict=True))]
 
-    return in_batches(rows.select("doc_id", "text", "numbers", "ranges"), cut, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary", 500)
+    return in_batches(rows.select("doc_id", "text", "places", "ranges"), cut, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary", 500)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

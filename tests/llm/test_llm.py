@@ -44,8 +44,9 @@ def empty(spark):
 
 
 def clashing(df):
-    """Further columns with the names of added ones."""
-    return df.withColumns({c: F.lit("x") for c in ("score", "lang_pred", "n_lines", "n_dropped", "n_tokens", "ids", "shard", "fingerprint")})
+    """Further columns with the names of added ones and of those that the operators use inside."""
+    inside = ("t", "l", "d", "h", "g", "n", "s", "p", "r", "own", "whole", "flags", "rt", "rl", "lettered", "size", "order", "row", "rows", "_t", "_d", "_s", "_n", "_h", "_kept", "_all", "_again", "_copy", "_order", "_lost", "_lettered", "_size")
+    return df.withColumns({c: F.lit("x") for c in ("score", "lang_pred", "n_lines", "n_dropped", "n_tokens", "ids", "shard", "fingerprint", *inside)})
 
 
 def all_texts():
@@ -133,11 +134,10 @@ def test_hot_suffixes_are_spread_and_equal_brute_force(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     hot = substring_dedup.hot_suffixes(docs, 50)
     assert len(hot)
-    rows = substring_dedup.batch_entries(docs.withColumn("tag", F.lit(0)), 6, 50, spark.sparkContext.broadcast(hot)).where("block is not null").collect()
+    rows = substring_dedup.batch_entries(docs.withColumn("tag", F.lit(0)), 6, 50, spark.sparkContext.broadcast(hot)).where(F.col("kind") == substring_dedup.ARRAY).collect()
     by, seen = {}, {}
     for r in rows:
-        k1, k2, *_ = substring_dedup._entries([r.block])
-        for suffix in zip(k1.tolist(), k2.tolist(), strict=True):
+        for suffix in (row[: substring_dedup.SUFFIX].tobytes() for row in substring_dedup._unplanes([r.block], substring_dedup.ENTRY)):
             by[suffix, r.p] = by.get((suffix, r.p), 0) + 1
             seen[suffix] = seen.get(suffix, 0) + 1
     suffix = max(seen, key=seen.get)
@@ -352,3 +352,39 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert stage.count() == corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     for r in stage.limit(5).collect():
         assert len(r.ids) == 4 * r.n_tokens and zlib.crc32(bytes(r.ids)) >= 0
+
+
+def test_operators_take_columns_of_any_name(docs):
+    """Columns named like those inside come through with their values."""
+    odd = clashing(docs)
+    for out in (line_dedup.drop_common_lines(odd), mixing.mix(odd), jaccard_join.keep_one(odd)):
+        assert out.count() and out.where("t <> 'x' or _order <> 'x' or own <> 'x' or _kept <> 'x' or size <> 'x'").count() == 0
+
+
+def test_lines_of_a_long_text_are_not_compared_with_each_other(spark):
+    long = "\n".join([f"line {i % 30_000}" for i in range(60_000)] + ["common"] * 20_000)
+    docs = spark.createDataFrame([(0, long)] + [(i, f"own {i}\ncommon") for i in range(1, 12)], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.drop_common_lines(docs).collect()}
+    assert (got[0].n_lines, got[0].n_dropped) == (80_000, 20_000) and got[0].text == long[: long.index("\ncommon")] and got[3].text == "own 3"
+
+
+def test_large_groups_are_parted(spark, monkeypatch):
+    """Near copies of one text in more rows than a task takes, with shingles of more documents than a list takes."""
+    monkeypatch.setattr(jaccard_join, "GROUP_ROWS", 8)
+    monkeypatch.setattr(jaccard_join, "LONG_LIST", 10)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
+    g, base, texts = random.Random(6), prose(50).split(), []
+    for _ in range(90):
+        own = list(base)
+        for _ in range(g.randint(0, 5)):
+            own[g.randrange(len(own))] = g.choice(VOCABULARY)
+        texts.append(" ".join(own))
+    sets = shingle_sets(texts)
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 175 * len(np.intersect1d(sets[i], sets[j])) >= 75 * (len(sets[i]) + len(sets[j])):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == label
