@@ -33,10 +33,10 @@ from corpusloom.llm.store import cut_points, forget, in_batches, range_bits, rea
 
 LENGTH, SUFFIX = 50, 12
 BATCHES = 4
-FLUSH = 250_000
+FLUSH = 100_000
 RANGE_BYTES = 2_000_000
 #: Documents of a bucket of marks, and marks that a task holds before they leave it.
-BUCKET_DOCS, MARKS = 2000, 500_000
+BUCKET_DOCS, MARKS = 2000, 200_000
 #: A suffix with so many different segments among one in HOT_SHARE documents is hot: it is not brought together in one task.
 HOT_SHARE, HOT_SEEN, HOT_MOST = 64, 32, 100_000
 #: So many windows of hot suffixes, the most frequent ones, are told to all tasks.
@@ -202,7 +202,7 @@ def batch_entries(docs: DataFrame, bits: int, length: int, hot) -> DataFrame:
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            own = batch.select(["doc_id", "tag"]).to_pandas()
+            doc_id, tag = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "tag"))
             texts = [(text or "").encode() for text in batch.column("text").to_pylist()]
             for part in _parts(texts):
                 text, h, seg, first, last, at, left, right = suffixes(texts[part], length)
@@ -213,8 +213,8 @@ def batch_entries(docs: DataFrame, bits: int, length: int, hot) -> DataFrame:
                 rows = np.empty((len(h), ENTRY), np.uint8)
                 rows[:, :SUFFIX] = joined[(begin + at)[:, None] + np.arange(SUFFIX)]
                 rows[:, SEGMENT:DOC] = _bytes(seg, 5)
-                rows[:, DOC:TAG] = _bytes(own["doc_id"].to_numpy()[part][text].view(np.uint64) ^ np.uint64(1 << 63), 8)
-                rows[:, TAG:PLACE] = _bytes(own["tag"].to_numpy()[part][text], 2)
+                rows[:, DOC:TAG] = _bytes(doc_id[part][text].view(np.uint64) ^ np.uint64(1 << 63), 8)
+                rows[:, TAG:PLACE] = _bytes(tag[part][text], 2)
                 rows[:, PLACE : PLACE + 4], rows[:, PLACE + 4], rows[:, PLACE + 5] = _bytes(first, 4), last - first, at - first
                 rows[:, SIDES : SIDES + 2], rows[:, SIDES + 2 :] = _bytes(left, 2), _bytes(right, 2)
                 held.append((h, rows))
@@ -257,9 +257,9 @@ def _agree(group: np.ndarray, doc: np.ndarray, side: np.ndarray) -> np.ndarray:
     return out
 
 
-def merge_scan(blocks: DataFrame, merge: list[int], last: bool, bits: int, buckets: int) -> DataFrame:
+def merge_scan(blocks: DataFrame, merge: list[int], last: bool, bits: int) -> DataFrame:
     """blocks (level, kind, p, block), level -1 for the batch. Rows as in ROWS: marks of the batch's entries that an earlier document
-    covers, p the bucket of documents; the merged array of the batch and the levels in ``merge``. After the last batch, in place
+    covers; the merged array of the batch and the levels in ``merge``. After the last batch, in place
     of an array, marks of entries that share a side with a different segment, and of all those of hot suffixes."""
     import pyarrow as pa
 
@@ -293,8 +293,14 @@ def merge_scan(blocks: DataFrame, merge: list[int], last: bool, bits: int, bucke
                     out.append((ARRAY, int(p[0]), _planes(rows[keep])))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)] if out else [pa.array([], t) for t in (pa.int32(), pa.int32(), pa.binary())], names=["kind", "p", "block"])
 
+    return blocks.groupBy("p").applyInArrow(run, ROWS)
+
+
+def by_bucket(marks: DataFrame, buckets: int) -> DataFrame:
+    """The marks of many ranges brought together: rows as in ROWS, p the bucket of documents."""
+    import pyarrow as pa
+
     def packed(held):
-        """Marks of several ranges by kind and bucket of documents."""
         out = []
         for kind, blocks in held.items():
             marks = _unplanes(blocks, MARK)
@@ -308,9 +314,7 @@ def merge_scan(blocks: DataFrame, merge: list[int], last: bool, bits: int, bucke
     def pack(batches):
         held, size = {}, 0
         for batch in batches:
-            array = batch.column("kind").to_numpy() == ARRAY
-            yield batch.filter(array)
-            for kind, block in zip(*(batch.filter(~array).column(c).to_pylist() for c in ("kind", "block")), strict=True):
+            for kind, block in zip(*(batch.column(c).to_pylist() for c in ("kind", "block")), strict=True):
                 held.setdefault(kind, []).append(block)
                 size += len(block) // MARK
                 if size >= MARKS:
@@ -319,7 +323,7 @@ def merge_scan(blocks: DataFrame, merge: list[int], last: bool, bits: int, bucke
         if size:
             yield packed(held)
 
-    return blocks.groupBy("p").applyInArrow(run, ROWS).mapInArrow(pack, ROWS)
+    return marks.mapInArrow(pack, ROWS)
 
 
 def per_document(marks: DataFrame) -> DataFrame:
@@ -357,8 +361,8 @@ class SuffixIndex:
         for k, at in self.levels.items():
             sides.append(spark.read.schema(ROWS).parquet(at).where(F.col("kind") == ARRAY).select(F.lit(k).alias("level"), "kind", "p", "block"))
         to = shared_dir(spark)
-        out = written(merge_scan(union_all(sides), merge, last, self.bits, self.buckets), to)
-        self.marks.append(written(out.where(F.col("kind") != ARRAY)))  # apart from the arrays, which go when they are merged
+        out = written(merge_scan(union_all(sides), merge, last, self.bits), to)
+        self.marks.append(written(by_bucket(out.where(F.col("kind") != ARRAY), self.buckets)))  # apart from the arrays, which go when they are merged
         for used in [self.levels.pop(k) for k in (list(self.levels) if last else merge)]:
             forget(spark, used)
         if last:
