@@ -68,7 +68,7 @@ def violations(c, lo, hi, allowed: str = T.ALLOWED) -> Column:
 
 def with_limits(rows: DataFrame, limits: DataFrame) -> DataFrame:
     """Word limits by category: the limit with the longest prefix of cat wins; limits (prefix, lo, hi) is a small dimension."""
-    both = rows.join(F.broadcast(limits), F.startswith(rows.cat, limits.prefix))  # its size is that of the category list
+    both = rows.select("cat").distinct().join(limits, F.startswith(F.col("cat"), limits.prefix))  # categories by prefixes, both short lists
     best = both.groupBy("cat").agg(F.max_by(F.struct("lo", "hi"), F.length("prefix")).alias("l"))
     return rows.join(best, "cat").select(*rows.columns, "l.lo", "l.hi")
 
@@ -110,21 +110,25 @@ def merged(rows: DataFrame, checks: Column, known: DataFrame, key: str = "k", or
 
 
 def numbered(rows: DataFrame, by: str = "cat", order=ORDER) -> DataFrame:
-    """A running number within each category."""
-    return rows.withColumn("number", F.row_number().over(W.partitionBy(by).orderBy(*order)))
+    """A running number within each category, without a task that sorts a whole one."""
+    return numbered_overall(rows, list(order), by)
 
 
-def numbered_overall(rows: DataFrame, order: list[str]) -> DataFrame:
-    """A running number over all rows without one task that sorts them all: ranges are numbered apart, then offset."""
+def numbered_overall(rows: DataFrame, order: list[str], by: str | None = None) -> DataFrame:
+    """A running number over all rows, or over those of each value of ``by``: ranges are numbered apart, then offset by the sizes of
+    the ranges before them, one row for each range and value."""
     from corpusloom.operators.storage import kept
 
     spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part = kept(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
-    sizes = part.groupBy("_part").count()
-    offsets = sizes.withColumn("_before", F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))).select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
-    inside = F.row_number().over(W.partitionBy("_part").orderBy(*order))
-    return part.withColumn("_in", inside).join(F.broadcast(offsets), "_part").withColumn("number", F.col("_in") + F.col("_before")).select(*rows.columns, "number")
+    n, own = int(spark.conf.get("spark.sql.shuffle.partitions")), [by] if by else []
+    part = kept(rows.repartitionByRange(n, *own, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = part.groupBy("_part", *own).count()
+    before = W.partitionBy(*own).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_part", *own, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    offsets = offsets.select(F.col("_part").alias("_p"), *[F.col(c).alias("_by") for c in own], "_before")
+    same = (F.col("_part") == F.col("_p")) & (F.col(by).eqNullSafe(F.col("_by")) if by else F.lit(True))
+    inside = F.row_number().over(W.partitionBy("_part", *own).orderBy(*order))
+    return part.withColumn("_in", inside).join(offsets, same).withColumn("number", F.col("_in") + F.col("_before")).select(*rows.columns, "number")
 
 
 def labels(c, question_words: str, particles: str, first: str, second: str, alternative: str, dense: tuple[str, int, str, int] = ("bpm", 3, "q", 2)) -> Column:

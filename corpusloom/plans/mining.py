@@ -67,7 +67,7 @@ MINED = f"WITH {LINES}, {KEYED}, {BENCH}, passing AS (SELECT * FROM keyed WHERE
 @query("flagship_mine", f"{MINED}, numbered AS (SELECT *, row_number() OVER (PARTITION BY cat ORDER BY src, id, seq) AS number FROM firsts) SELECT cat, count(*)::BIGINT AS n_lines, round(sum({SECONDS}) / 3600, 6) AS hours, min(format('{{}}_{{:05d}}', cat, number)) AS first_id, max(number)::INT AS last_number FROM numbered GROUP BY cat")
 def flagship_mine(spark, sf):
     rows = M.numbered(mined(spark, sf))
-    return rows.groupBy("cat").agg(F.count("*").alias("n_lines"), F.round(F.sum(T.speech_seconds("text")) / 3600, 6).alias("hours"), F.min(T.padded_id("cat", "number")).alias("first_id"), F.max("number").alias("last_number"))
+    return rows.groupBy("cat").agg(F.count("*").alias("n_lines"), F.round(F.sum(T.speech_seconds("text")) / 3600, 6).alias("hours"), F.min(T.padded_id("cat", "number")).alias("first_id"), F.max("number").cast("int").alias("last_number"))
 
 
 def on_lines(name, sql, where=None, **columns):
@@ -199,7 +199,7 @@ query("ud3_breakdown_key", f"WITH {LINES} SELECT {BIN} AS kind, right(text, 1) A
 
 @query("wn1_numbers", f"WITH {LINES}, {KEYED} SELECT cat, id, seq, row_number() OVER (PARTITION BY cat ORDER BY src, id, seq)::INT AS number FROM keyed")
 def wn1_numbers(spark, sf):
-    return M.numbered(keyed(spark, sf)).select("cat", "id", "seq", "number")
+    return M.numbered(keyed(spark, sf)).select("cat", "id", "seq", F.col("number").cast("int").alias("number"))
 
 
 @query("wn5_every_kth", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) AS number FROM documents) WHERE number % 7 = 0")

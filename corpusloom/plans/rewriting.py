@@ -10,7 +10,7 @@ from corpusloom.operators import rewrite as R
 from corpusloom.plans.base import sql_words, table
 
 RULES = {r.name: r for r in R.rules()}
-IDS = {"phone": "tx4", "date_iso": "tx6", "date_dmy": "tx6", "dotted": "tx7", "time": "tx8", "currency": "tx10", "currency_before": "tx10", "percent": "tx11", "unit": "tx12", "roman": "tx13", "fraction": "tx14", "range": "tx15", "suffixed": "tx16", "number": "tx17", "acronym": "tx18"}
+IDS = {"phone": "tx4", "date_iso": "tx6", "date_dmy": "tx6", "date_dm": "tx6", "dotted": "tx7", "time": "tx8", "currency": "tx10", "currency_before": "tx10", "percent": "tx11", "unit": "tx12", "roman": "tx13", "roman_span": "tx13", "fraction": "tx14", "range": "tx15", "suffixed": "tx16", "number": "tx17", "acronym": "tx18"}
 #: Patterns without look-around for the censuses that SQL can make too: the guards are taken as a captured character.
 CENSUS = {"percent": (r"(\d{1,12} ?%)", "tx11"), "fraction": (r"(\d{1,9}/\d{1,9})", "tx14"), "digits": (r"(\d+)", "tx17"), "capitals": (r"(\p{Lu}{2,5})", "tx18"), "times": (r"(\d{1,2}:\d{2})", "tx8"), "dotted": (r"(\d+(?:\.\d+){2,})", "tx7")}
 
@@ -23,7 +23,7 @@ def _register():
     for name, (pattern, number) in CENSUS.items():
         sql = f"WITH s AS (SELECT doc_id, source, lang, unnest(regexp_extract_all(text, '{pattern}')) AS span FROM documents) SELECT '{name}' AS rule, source, lang, count(*)::BIGINT AS n, count(DISTINCT span)::BIGINT AS spans, count(DISTINCT doc_id)::BIGINT AS docs FROM s GROUP BY source, lang"
 
-        def run(spark, sf, rule=R.SpanRule(name, pattern, None)):
+        def run(spark, sf, rule=R.SpanRule(name, pattern[1:-1], None)):
             d = docs(spark, sf)
             return R.census(R.spans(d, rule), d)
 
@@ -39,15 +39,13 @@ def _register():
 _register()
 TIDY = r"trim(regexp_replace(regexp_replace(translate(text, '‘’“”–—…' || chr(160), '''''' || chr(34) || chr(34) || '--.' || ' '), '\s+([,.;:!?])', '\1', 'g'), '\s+', ' ', 'g'))"
 query("tx1_tidy", f"SELECT doc_id, {TIDY} AS text FROM documents")(lambda spark, sf: docs(spark, sf).select("doc_id", R.tidy("text").alias("text")))
-query("tx2_abbreviations")(lambda spark, sf: docs(spark, sf).select("doc_id", R.abbreviations("text", {"the.": "the full stop", "of.": "of full stop"}).alias("text")))
-FOREIGN = {"license": "lisenziya", "scum": "skam", "disgusting": "disqastinq"}
+query("tx2_abbreviations")(lambda spark, sf: docs(spark, sf).select("doc_id", R.abbreviations("text").alias("text")))
 
 
 @query("tx3_foreign_words")
 def tx3_foreign_words(spark, sf):
-    """A table of foreign words, suffixes kept behind the spoken word."""
-    rule = R.SpanRule("foreign", rf"(?<![{T.WORD_CHARS}])((?i:{'|'.join(FOREIGN)})\p{{L}}{{0,3}})(?![{T.WORD_CHARS}])", lambda s: F.concat(F.element_at(R.lookup(FOREIGN), F.lower(F.regexp_extract(s, f"(?i)^({'|'.join(FOREIGN)})", 1))), F.regexp_extract(s, rf"(?i)^(?:{'|'.join(FOREIGN)})(\p{{L}}*)$", 1)))
-    return R.apply_rule(docs(spark, sf), rule).select("doc_id", "text")
+    """Foreign words as they are said, a written suffix harmonised, with a capital where one was or a sentence starts."""
+    return R.apply_rule(R.apply_rule(docs(spark, sf), RULES["foreign_start"]), RULES["foreign"]).select("doc_id", "text")
 
 
 query("tx5_thousands")(lambda spark, sf: docs(spark, sf).select("doc_id", R.thousands("text").alias("text")))

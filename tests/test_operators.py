@@ -68,7 +68,21 @@ def test_text_rules(spark):
     assert row.select(T.syllables("t").alias("n")).first().n == 4
 
 
-REWRITES = [("25% artım", "iyirmi beş faiz artım"), ("%25 artım", "iyirmi beş faiz artım"), ("1,5 metr", "bir vergül beş metr"), ("-3 dərəcə", "mənfi üç dərəcə"), ("10-15 nəfər", "on on beş nəfər"), ("5-ci sıra", "beşinci sıra"), ("19,99 AZN", "on doqquz manat doxsan doqquz qəpik"), ("salam dünya.", "salam dünya.")]
+REWRITES = [
+    ("25% artım", "iyirmi beş faiz artım"), ("%25 artım", "iyirmi beş faiz artım"), ("25%-i", "iyirmi beş faizi"), ("1,5 metr", "bir tam onda beş metr"), ("2,75", "iki tam yüzdə yetmiş beş"), ("-3 dərəcə", "mənfi üç dərəcə"),
+    ("10-15 nəfər", "on ilə on beş nəfər"), ("1941-1945-ci illər", "min doqquz yüz qırx bir ilə min doqquz yüz qırx beşinci illər"), ("5-ci sıra", "beşinci sıra"), ("10-da qaldı", "onda qaldı"), ("2024-cü ildə", "iki min iyirmi dördüncü ildə"),
+    ("19,99 AZN", "on doqquz manat doxsan doqquz qəpik"), ("0,50 azn", "əlli qəpik"), ("5,00 AZN", "beş manat"), ("10 AZN-dən", "on manatdan"), ("$25", "iyirmi beş dollar"), ("5 mln AZN", "beş milyon manat"), ("AZN ilə", "manat ilə"), ("7 rub", "yeddi rubl"),
+    ("salam dünya.", "salam dünya."), ("1.000.000 nəfər", "bir milyon nəfər"), ("2024 100", "iki min iyirmi dörd yüz"), ("11000", "on min"), ("007", "sıfır sıfır yeddi"), ("COVID-19", "kovid on doqquz"), ("+5", "üstəgəl beş"),
+    ("3/4", "dörddə üç"), ("24/7", "iyirmi dörd bölü yeddi"), ("2/3-si", "üçdə ikisi"), ("14:05", "on dörd sıfır beş"), ("00:00", "sıfır sıfır"), ("saat 09:00", "saat doqquz"), ("14:30-da", "on dörd otuzda"), ("09:00-da", "doqquzda"), ("25:10", "iyirmi beş on"),
+    ("15.03.2024", "on beş mart iki min iyirmi dördüncü il"), ("15.03.2024-cü ildə", "on beş mart iki min iyirmi dördüncü ildə"), ("15.03.2024 ildə", "on beş mart iki min iyirmi dördüncü ildə"), ("01/12/1999", "bir dekabr min doqquz yüz doxsan doqquzuncu il"),
+    ("2024-03-15", "on beş mart iki min iyirmi dördüncü il"), ("15/08", "on beş avqust"), ("01 may", "bir may"), ("1.2.3", "bir nöqtə iki nöqtə üç"),
+    ("+994 50 123 45 67", "doqquz yüz doxsan dörd əlli yüz iyirmi üç qırx beş altmış yeddi"), ("+994501234567", "doqquz yüz doxsan dörd əlli yüz iyirmi üç qırx beş altmış yeddi"), ("050 123 45 67", "sıfır əlli yüz iyirmi üç qırx beş altmış yeddi"), ("0501234567", "sıfır əlli yüz iyirmi üç qırx beş altmış yeddi"), ("(050) 123-45-67", "sıfır əlli yüz iyirmi üç qırx beş altmış yeddi"),
+    ("II Dünya müharibəsi", "İkinci Dünya müharibəsi"), ("fəsil XI", "fəsil on birinci"), ("bu XX əsrdə", "bu iyirminci əsrdə"), ("Bitdi. XX əsr", "Bitdi. İyirminci əsr"), ("XX-ci əsr", "İyirminci əsr"), ("V əsr", "Beşinci əsr"), ("bu V və X", "bu V və X"), ("XIX-XX əsr", "On doqquzuncu ilə iyirminci əsr"), ("CD DVD", "ce de de ve de"),
+    ("5 kq", "beş kiloqram"), ("16 GB", "on altı giqabayt"), ("5 KM", "beş kilometr"), ("5 ha", "beş hektar"), ("3 km-ə", "üç kilometrə"), ("5 mərtəbə", "beş mərtəbə"), ("80 km/saat", "səksən kilometr saatda"),
+    ("alma, armud və s.", "alma, armud və sairə"), ("məs. belə", "məsələn belə"), ("Prof. Əli", "professor Əli"), ("e.ə. 5", "eramızdan əvvəl beş"),
+    ("ATM kartı", "a te em kartı"), ("ATM-də", "a te emdə"), ("AMEA-nın", "a em e anın"), ("DİQQƏTLİ ol", "DİQQƏTLİ ol"), ("Google-da", "Quglda"), ("bu google-dan", "bu qugldan"), ("iPhone 15", "Ayfon on beş"),
+    ("№ 5", "nömrə beş"), ("Ali & Vəli", "Ali və Vəli"), ("“Salam…”", '"Salam."'), ("2x3", "iki vurulsun üç"), ("3:2", "üç iki"), ("  Salam   , dünya  ", "Salam, dünya"), ("", ""),
+]
 
 
 def test_spoken_form_and_its_idempotence(spark):
@@ -77,7 +91,7 @@ def test_spoken_form_and_its_idempotence(spark):
     assert {r.doc_id: r.text for r in once.collect()} == dict(enumerate(w for _, w in REWRITES))
 
 
-@pytest.mark.parametrize(("n", "said"), [(0, "sıfır"), (7, "yeddi"), (105, "yüz beş"), (1000, "min"), (1001, "min bir"), (11000, "on bir min"), (2_000_000, "iki milyon")])
+@pytest.mark.parametrize(("n", "said"), [(0, "sıfır"), (7, "yeddi"), (105, "yüz beş"), (1000, "min"), (1001, "min bir"), (11000, "on min"), (1_001_000, "bir milyon min"), (121_001, "yüz iyirmi min bir"), (2_000_000, "iki milyon")])
 def test_number_words(spark, n, said):
     assert spark.range(1).select(R.number_words(F.lit(n).cast("long"))).first()[0] == said
 
@@ -92,7 +106,7 @@ def test_thousands_join_whole_runs(spark):
 
 def test_long_numbers_are_spoken(spark):
     ones = "bir iki üç dörd beş altı yeddi səkkiz doqquz sıfır"
-    said = [("1000000000000000", "bir kvadrilyon"), ("12345678901234567890", f"{ones} {ones}"), ("0" * 20 + "12", "on iki"), ("x 12345678901234567890-ci", f"x {ones} {ones[:-5]}sıfırıncı"), ("1,12345678901", "bir vergül on iki milyard üç yüz qırx beş milyon altı yüz yetmiş səkkiz min doqquz yüz bir"), ("12345678901234567890 kq", f"{ones} {ones} kiloqram"), ("1 000 000 000 000", "bir trilyon")]
+    said = [("1000000000000000", "bir kvadrilyon"), ("12345678901234567890", f"{ones} {ones}"), ("0" * 5 + "12", " ".join(["sıfır"] * 5) + " on iki"), ("x 12345678901234567890-ci", f"x {ones} {ones[:-5]}sıfırıncı"), ("1,12345678901", "bir tam bir iki üç dörd beş altı yeddi səkkiz doqquz sıfır bir"), ("12345678901234567890 kq", f"{ones} {ones} kiloqram"), ("1 000 000 000 000", "bir trilyon")]
     docs = spark.createDataFrame(list(enumerate(t for t, _ in said)), "doc_id long, text string")
     assert {r.doc_id: r.text for r in R.spoken_form(docs).collect()} == dict(enumerate(w for _, w in said))
 
@@ -111,15 +125,48 @@ def test_clauses_of_long_documents_stay_apart(spark, tmp_path):
     assert got == {(v, p): 1004 for v in ("step", "base") for p in ("first", "middle", "last")}
 
 
+def chunks_of(spark, text, most, **more):
+    rows = R.chunk_rows(spark.createDataFrame([(0, text)], "doc_id long, text string"), most, **more).orderBy("s", "k").collect()
+    return [r.chunk for r in rows]
+
+
 def test_chunks_keep_every_word(spark):
     rng = random.Random(3)
     texts = [" ".join(rng.choice(["alma", "və", "armud,", "gəl.", "ki"]) for _ in range(rng.randint(0, 90))) for _ in range(30)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = R.chunk_rows(docs, 10).orderBy("doc_id", "s", "c", "k").collect()
+    rows = R.chunk_rows(docs, 10).orderBy("doc_id", "s", "k").collect()
     for i, t in enumerate(texts):
         chunks = [r.chunk for r in rows if r.doc_id == i]
         assert " ".join(chunks).split() == t.split() and all(len(c.split()) <= 10 for c in chunks)
-    assert R.chunk_rows(spark.createDataFrame([(0, " ".join(["söz"] * 40))], "doc_id long, text string"), 10).count() == 4
+
+
+def test_chunks_are_cut_where_a_reader_pauses(spark):
+    ten, other = " ".join(["söz"] * 10), " ".join(["kəlmə"] * 10)
+    assert chunks_of(spark, f"{ten}, {other}", 15) == [f"{ten},", other]
+    assert chunks_of(spark, f"{ten} və {other}", 15) == [ten, f"və {other}"]
+    assert chunks_of(spark, " ".join(["söz"] * 40), 10) == [ten] * 4
+    assert chunks_of(spark, "a, b, c d e, f g h i", 5) == ["a, b, c d e,", "f g h i"]
+    assert chunks_of(spark, "Salam\n\n  dünya. Necəsən?", 25) == ["Salam dünya.", "Necəsən?"]
+
+
+def test_pieces_keep_to_the_limit(spark):
+    docs = spark.createDataFrame([(0, "aa bb, cc dd; ee ff gg hh. ii"), (1, "x" * 23 + " yy"), (2, ""), (3, None)], "doc_id long, text string")
+    rows = R.limited_rows(docs, 10).orderBy("doc_id", "s", "k").collect()
+    assert [(r.doc_id, r.piece) for r in rows] == [(0, "aa bb,"), (0, "cc dd;"), (0, "ee ff gg"), (0, "hh."), (0, "ii"), (1, "x" * 10), (1, "x" * 10), (1, "xxx yy")]
+    assert all(len(r.piece) <= 10 for r in rows) and " ".join(r.piece for r in rows if r.doc_id == 0) == "aa bb, cc dd; ee ff gg hh. ii" and {r.doc_id for r in rows} == {0, 1}
+
+
+def test_numbers_run_within_categories(spark):
+    rows = spark.range(500).select(F.when(F.col("id") < 400, "a").when(F.col("id") < 490, "b").alias("cat"), F.lit("s").alias("src"), F.pmod(F.col("id") * 7, F.lit(500)).alias("id"), F.lit(1).alias("seq"))
+    by = {}
+    for r in M.numbered(rows).orderBy("id").collect():
+        by.setdefault(r.cat, []).append(r.number)
+    assert by == {"a": list(range(1, 401)), "b": list(range(1, 91)), None: list(range(1, 11))}
+
+
+def test_marks_ahead(spark):
+    rows = spark.createDataFrame([(1, i, m) for i, m in enumerate([None, ".", None, "?", None])], "d long, i int, m string")
+    assert [r.ends_with for r in S.look_ahead(rows, "i", "m", ["d"]).orderBy("i").collect()] == [".", ".", "?", "?", None]
 
 
 def test_redaction_merges_markers(spark):
