@@ -33,22 +33,22 @@ from corpusloom.llm.store import cut_points, forget, in_batches, range_bits, rea
 
 LENGTH, SUFFIX = 50, 12
 BATCHES = 4
-FLUSH = 100_000
-RANGE_BYTES = 2_000_000
+FLUSH = 50_000
+RANGE_BYTES = 1_000_000
 #: Documents of a bucket of marks, and marks that a task holds before they leave it.
-BUCKET_DOCS, MARKS = 2000, 200_000
+BUCKET_DOCS, MARKS = 2000, 100_000
 #: A suffix with so many different segments among one in HOT_SHARE documents is hot: it is not brought together in one task.
 HOT_SHARE, HOT_SEEN, HOT_MOST = 64, 32, 100_000
 #: So many windows of hot suffixes, the most frequent ones, are told to all tasks.
 HEAVY_WINDOWS = 20_000
-CHUNK = (1 << 20) - 1024
+CHUNK = (1 << 18) - 1024
 #: Texts up to so many bytes are hashed together.
 BUFFER = 1 << 16
 _BASE = 0xD1342543DE82EF95
 _VALUE = np.random.default_rng(50).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _SCALE = {w: np.uint64(pow(_BASE, w, 1 << 64)) for w in (1, 2, 4)}
-_up = np.cumprod(np.r_[np.uint64(1), np.full(1 << 20, _BASE, np.uint64)])
-_down = np.cumprod(np.r_[np.uint64(1), np.full(1 << 20, pow(_BASE, -1, 1 << 64), np.uint64)])
+_up = np.cumprod(np.r_[np.uint64(1), np.full(1 << 18, _BASE, np.uint64)])
+_down = np.cumprod(np.r_[np.uint64(1), np.full(1 << 18, pow(_BASE, -1, 1 << 64), np.uint64)])
 #: An entry's bytes: suffix, segment hash, doc_id, tag, place, hashes of the left and of the right side; integers big-endian.
 #: A place is the start of the first window, how far on the last one starts, and how far on the suffix does.
 SEGMENT, DOC, TAG, PLACE, SIDES, ENTRY = SUFFIX, SUFFIX + 5, SUFFIX + 13, SUFFIX + 15, SUFFIX + 21, SUFFIX + 25
@@ -229,7 +229,7 @@ def batch_entries(docs: DataFrame, bits: int, length: int, hot) -> DataFrame:
     return docs.select("doc_id", "tag", "text").mapInArrow(run, ROWS)
 
 
-def _parts(texts: list[bytes], most: int = 1 << 21):
+def _parts(texts: list[bytes], most: int = 1 << 19):
     """Slices of texts of about so many bytes."""
     a, size = 0, 0
     for z, text in enumerate(texts):
@@ -240,7 +240,7 @@ def _parts(texts: list[bytes], most: int = 1 << 21):
     yield slice(a, len(texts))
 
 
-def _small_batches(spark: SparkSession, rows: int = 500) -> None:
+def _small_batches(spark: SparkSession, rows: int = 200) -> None:
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
@@ -395,7 +395,7 @@ def window_matches(docs: DataFrame, asked: DataFrame, bits: int, length: int) ->
             ranges = (h >> np.uint64(64 - bits)).astype(np.int32)
             yield [pa.array(ranges), pa.array([doc_id] * n, pa.int64()), pa.array([tag] * n, pa.int32()), pa.array(first), pa.array(ahead.astype(np.int32)), [raw[a : z + length] for a, z in zip(first.tolist(), last.tolist(), strict=True)]]
 
-    segments = in_batches(texts.select("doc_id", "tag", "text", "places"), cut, "p int, doc_id long, tag int, first long, ahead int, bytes binary", 500)
+    segments = in_batches(texts.select("doc_id", "tag", "text", "places"), cut, "p int, doc_id long, tag int, first long, ahead int, bytes binary", 200)
 
     def compare(pdf):
         sizes = pdf["bytes"].str.len().to_numpy()
@@ -403,7 +403,7 @@ def window_matches(docs: DataFrame, asked: DataFrame, bits: int, length: int) ->
         count = sizes - length + 1
         rows, window, pieces, at = np.repeat(np.arange(len(pdf)), count), [], [], 0
         while at < len(pdf):  # hashes of the windows, for about a million bytes at a time
-            to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), 1_000_000)))
+            to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), 200_000)))
             b = np.frombuffer(b"".join(pdf["bytes"].iloc[at:to]), np.uint8)
             sums = np.zeros(len(b) + 1, np.uint64)
             np.cumsum(_VALUE[b] * _up[: len(b)], out=sums[1:])
@@ -506,7 +506,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
             out.append((len(raw), [{"start": a, "stop": z} for a, z in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True)], kept))
         yield [batch.column("doc_id"), *map(list, zip(*out, strict=True))]
 
-    return in_batches(rows.select("doc_id", "text", "places", "ranges"), cut, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary", 500)
+    return in_batches(rows.select("doc_id", "text", "places", "ranges"), cut, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary", 200)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
