@@ -37,8 +37,9 @@ FLUSH = 50_000
 RANGE_BYTES = 1_000_000
 #: Documents of a bucket of marks, and marks that a task holds before they leave it.
 BUCKET_DOCS, MARKS = 2000, 100_000
-#: A suffix with so many different segments among one in HOT_SHARE documents is hot: it is not brought together in one task.
-HOT_SHARE, HOT_SEEN, HOT_MOST = 64, 32, 100_000
+#: A suffix with so many different segments among one in HOT_SHARE documents is hot: it is not brought together in one task, which
+#: takes some 600 bytes for a segment, 20 MB for the largest suffix that is not hot.
+HOT_SHARE, HOT_SEEN, HOT_MOST = 64, 512, 100_000
 #: So many windows of hot suffixes, the most frequent ones, are told to all tasks.
 HEAVY_WINDOWS = 20_000
 CHUNK = (1 << 18) - 1024
