@@ -16,8 +16,9 @@ def read_log(spark: SparkSession, path: str, schema: str = METRIC) -> DataFrame:
 
 
 def latest_run(rows: DataFrame) -> DataFrame:
-    """Rows of the newest run only: a restart begins a new run id."""
-    newest = rows.agg(F.max("run").alias("run"))
+    """Rows of the newest run only: a restart begins a new run id. Ids are ordered by name, a number at their end as a number."""
+    digits = F.ltrim(F.regexp_extract("run", r"(\d*)$", 1), F.lit("0"))
+    newest = rows.agg(F.max_by("run", F.struct(F.regexp_replace("run", r"\d+$", ""), F.length(digits), digits, "run")).alias("run"))
     return rows.join(F.broadcast(newest), "run")
 
 

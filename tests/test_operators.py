@@ -222,3 +222,11 @@ def test_first_wins_and_merge_reasons(spark):
     assert M.first_of_key(rows.where("k = 'x'")).first().id == 1
     out = {(r.src, r.id): r.reason for r in M.merged(rows, ~F.col("text").endswith("."), spark.createDataFrame([("known",)], "k string")).collect()}
     assert out == {("b", 1): "duplicate", ("a", 2): None, ("a", 1): "checker", ("a", 3): "known", ("a", 4): "bad row"}
+
+
+def test_latest_run_orders_numbers_as_numbers(spark):
+    from corpusloom.streaming.metric_log import latest_run
+
+    rows = spark.createDataFrame([("r9", 1), ("r10", 2), ("r10", 3), ("r2", 4)], "run string, step long")
+    assert sorted((r.run, r.step) for r in latest_run(rows).collect()) == [("r10", 2), ("r10", 3)]
+    assert latest_run(rows.where("run <> 'r10'")).first().run == "r9" and latest_run(rows.limit(0)).count() == 0
