@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": line_dedup.OP6_SQL}
+    return {"op3_suffix_dedup": substring_dedup.OP3_SQL, "op6_line_dedup": line_dedup.OP6_SQL, "op9_jaccard_join": jaccard_join.OP9_SQL}

@@ -514,3 +514,36 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS rn, hex(encode(coalesce(text, ''))) AS h FROM documents
+), blocks AS (
+  SELECT d.doc_id, d.rn, b.b, substr(d.h, 2000 * b.b + 1, 2098) AS part
+  FROM docs d, LATERAL (SELECT unnest(range(0, (length(d.h) // 2 - 50) // 1000 + 1)) AS b) b
+  WHERE length(d.h) >= 100
+), windows AS (
+  SELECT k.doc_id, k.rn, 1000 * k.b + j.j AS s, substr(k.part, 2 * j.j + 1, 100) AS w
+  FROM blocks k, LATERAL (SELECT unnest(range(0, length(k.part) // 2 - 49)) AS j) j
+), firsts AS (
+  SELECT w, min(doc_id) AS first_id FROM windows GROUP BY w HAVING count(*) > 1
+), hits AS (
+  SELECT v.rn, v.s, CASE WHEN v.s > lag(v.s) OVER (PARTITION BY v.rn ORDER BY v.s) + 50 THEN 1 ELSE 0 END AS opens
+  FROM windows v JOIN firsts f ON v.w = f.w AND f.first_id < v.doc_id
+), spans AS (
+  SELECT rn, min(s) AS a, max(s) + 50 AS z
+  FROM (SELECT rn, s, sum(opens) OVER (PARTITION BY rn ORDER BY s ROWS UNBOUNDED PRECEDING) AS span FROM hits)
+  GROUP BY rn, span
+), gaps AS (
+  SELECT rn, a, z, lag(z, 1, 0) OVER (PARTITION BY rn ORDER BY a) AS after FROM spans
+), kept AS (
+  SELECT d.rn, sum(g.z - g.a) AS n_removed, count(*) AS n_spans,
+         string_agg(substr(d.h, (2 * g.after + 1)::BIGINT, (2 * (g.a - g.after))::BIGINT), '' ORDER BY g.a)
+           || substr(any_value(d.h), (2 * max(g.z) + 1)::BIGINT) AS h
+  FROM gaps g JOIN docs d ON d.rn = g.rn GROUP BY d.rn
+)
+SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(k.n_removed, 0)::BIGINT AS n_removed,
+       coalesce(k.n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON k.rn = d.rn
+"""
