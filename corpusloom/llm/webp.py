@@ -2,8 +2,9 @@
 
 Decoding follows the public bitstream specification: prefix codes (simple and normal), groups of codes chosen by an
 entropy image, back-references with the short-distance map, colour cache, and the inverse predictor, cross-colour,
-subtract-green and palette transforms with pixel bundling. Images of literals under one group of codes, the common case
-here, take a path in which code lengths are looked up at every bit position of a window at once."""
+subtract-green and palette transforms with pixel bundling. Images under one group of codes, the common case here, take a
+path in which code lengths are looked up at every bit position of a window at once; their back-references and places in the
+colour cache are then followed for all pixels together."""
 
 from __future__ import annotations
 
@@ -62,10 +63,10 @@ class Prefix:
         used = np.flatnonzero(lengths)
         self.lengths = lengths
         if len(used) <= 1:  # the only symbol takes no bits
-            self.width, self.symbol, self.length = 0, np.array([used[0] if len(used) else 0]), np.zeros(1, np.uint8)
+            self.width, self.symbol, self.length = 0, np.array([used[0] if len(used) else 0], np.int16), np.zeros(1, np.uint8)
         else:
             self.width = int(lengths.max())
-            self.symbol, self.length = np.zeros(1 << self.width, np.int64), np.zeros(1 << self.width, np.uint8)
+            self.symbol, self.length = np.zeros(1 << self.width, np.int16), np.zeros(1 << self.width, np.uint8)
             for s, c in zip(used.tolist(), canonical(lengths)[used].tolist(), strict=True):
                 self.symbol[c :: 1 << int(lengths[s])] = s
                 self.length[c :: 1 << int(lengths[s])] = lengths[s]
@@ -156,9 +157,12 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         groups_at = ((read_pixels(bits, per_row, (height + (1 << block) - 1) >> block, False) >> 8) & 0xFFFF).tolist()
     groups = [_read_codes(bits, cache_bits) for _ in range(max(groups_at) + 1 if groups_at else 1)]
     total = width * height
-    if not cache_bits and not groups_at and not groups[0][0].lengths[256:].any():
+    if not groups_at and not cache_bits and not groups[0][0].lengths[256:].any():
         out, bits.at = read_literals(bits.data, bits.at, total, groups[0][:4])
         return out
+    if not groups_at and total > SMALL and groups[0][0].width:
+        tokens, bits.at = read_tokens(bits.data, bits.at, total, groups[0])
+        return resolved(tokens, total, width, cache_bits)
     out, cache, near = [0] * total, [0] * (1 << cache_bits), near_distances()
     i = cached = 0
     while i < total:
@@ -195,6 +199,8 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
 
 
 WINDOW = 1 << 15
+#: Images of fewer pixels are read pixel by pixel.
+SMALL = 32
 
 
 def read_literals(data: bytes, at: int, n: int, codes: list[Prefix]) -> tuple[np.ndarray, int]:
@@ -244,12 +250,132 @@ def read_literals(data: bytes, at: int, n: int, codes: list[Prefix]) -> tuple[np
         n -= len(here)
         value = np.zeros(len(here), np.int64)
         for c, shift, step in zip(codes, (8, 16, 0, 24), steps, strict=True):
-            value |= c.symbol[w[here] & c.mask] << shift
+            value |= c.symbol[w[here] & c.mask].astype(np.int64) << shift
             here = step[here]
         parts.append(value)
     return np.concatenate(parts), at
 
 
+#: The first value (less one) and the number of further bits of each prefix code of a length or distance.
+_MORE = np.array([0 if c < 4 else (c - 2) >> 1 for c in range(40)])
+_BASE = np.array([c if c < 4 else (2 + (c & 1)) << ((c - 2) >> 1) for c in range(40)])
+
+
+def read_tokens(data: bytes, at: int, n: int, codes: list[Prefix]) -> tuple[np.ndarray, int]:
+    """The tokens of n pixels from bit at on, and the bit after them: rows of green symbol, ARGB value or length, distance code.
+
+    As in read_literals, but a token may be a literal, a back-reference or a place in the cache."""
+    green, red, blue, alpha, far = codes
+    parts = []
+    while n > 0:
+        first = at >> 3
+        size = min(WINDOW, len(data) - first)
+        if size <= 0:
+            raise ValueError("the image ends early")
+        raw = np.frombuffer(data[first : first + size + 16] + bytes(12), np.uint8).astype(np.uint32)
+        v = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
+        w = (v[: size + 8, None] >> np.arange(8, dtype=np.uint32)).ravel()
+        limit, end = size * 8, len(w) - 1
+        place = np.arange(end + 1, dtype=np.int32)
+        slot = w & green.mask
+        symbol = green.symbol[slot]
+        after = np.minimum(place + green.length[slot], end)
+        ahead = after.copy()  # a place in the cache is its green symbol alone
+        lit = np.flatnonzero(symbol < 256)
+        to = after[lit]
+        for c in (red, blue, alpha):
+            if c.width:
+                to = np.minimum(to + c.length[w[to] & c.mask], end)
+        ahead[lit] = to
+        copy = np.flatnonzero((symbol >= 256) & (symbol < 280))
+        to = np.minimum(after[copy] + _MORE[symbol[copy] - 256], end)
+        code = far.symbol[w[to] & far.mask]
+        ahead[copy] = np.minimum(to + far.length[w[to] & far.mask] + _MORE[code], end)
+        two = ahead[ahead]
+        four = two[two]
+        eight = memoryview(four[four])
+        p, starts, most = at & 7, [], -(-n // 8)
+        while p < limit and len(starts) < most:
+            starts.append(p)
+            p = eight[p]
+        grid = np.empty((len(starts), 8), np.int32)
+        grid[:, 0] = starts
+        for k in range(1, 8):
+            grid[:, k] = ahead[grid[:, k - 1]]
+        here = grid.ravel()
+        here = here[: np.searchsorted(here, limit)]
+        token = np.zeros((len(here), 3), np.int64)
+        token[:, 0] = symbol[here]
+        s = token[:, 0]
+        run = np.ones(len(here), np.int64)
+        lit = np.flatnonzero(s < 256)
+        to, value = after[here[lit]], s[lit] << 8
+        for c, shift in ((red, 16), (blue, 0), (alpha, 24)):
+            value |= c.symbol[w[to] & c.mask].astype(np.int64) << shift
+            to = to + c.length[w[to] & c.mask]
+        token[lit, 1] = value
+        copy = np.flatnonzero((s >= 256) & (s < 280))
+        to, length = after[here[copy]], s[copy] - 256
+        run[copy] = token[copy, 1] = _BASE[length] + (w[to] & ((1 << _MORE[length]) - 1)) + 1
+        to = to + _MORE[length]
+        code = far.symbol[w[to] & far.mask]
+        to = to + far.length[w[to] & far.mask]
+        token[copy, 2] = _BASE[code] + (w[to] & ((1 << _MORE[code]) - 1)) + 1
+        used = int(np.searchsorted(np.cumsum(run), n)) + 1
+        if not len(here):
+            raise ValueError("the image ends early")
+        used = min(used, len(here))
+        at = first * 8 + int(ahead[here[used - 1]])
+        n -= int(run[:used].sum())
+        parts.append(token[:used])
+    if n:
+        raise ValueError("a back-reference leaves the image")
+    return np.concatenate(parts), at
+
+
+def _roots(to: np.ndarray) -> np.ndarray:
+    """Follows pointers, none of which leads to a later place, until they stay."""
+    while True:
+        further = to[to]
+        if (further == to).all():
+            return to
+        to = further
+
+
+def resolved(tokens: np.ndarray, total: int, width: int, cache_bits: int) -> np.ndarray:
+    """Tokens as ARGB values.
+
+    Every pixel points to the one that it repeats: first those of back-references, along which each pixel learns its key in the
+    colour cache, then those of the cache, which repeat the last pixel before with their key (0 where there is none)."""
+    s, value = tokens[:, 0], tokens[:, 1]
+    is_copy = (s >= 256) & (s < 280)
+    run = np.where(is_copy, value, 1)
+    start = np.cumsum(run) - run
+    to, argb = np.arange(total + 1), np.zeros(total + 1, np.int64)
+    lit, cached, copy = np.flatnonzero(s < 256), np.flatnonzero(s >= 280), np.flatnonzero(is_copy)
+    argb[start[lit]] = value[lit]
+    if len(copy):
+        near = np.array([max(1, x + y * width) for x, y in near_distances()])
+        d = tokens[copy, 2]
+        d = np.where(d > 120, d - 120, near[np.minimum(d, 120) - 1])
+        if (d > start[copy]).any():
+            raise ValueError("a back-reference leaves the image")
+        own = np.repeat(np.arange(len(copy)), run[copy])
+        pixel = start[copy][own] + np.arange(len(own)) - (np.cumsum(run[copy]) - run[copy])[own]
+        to[pixel] = pixel - d[own]
+    if len(cached):
+        root = _roots(to)[:total]
+        key = (CACHE_FACTOR * argb & 0xFFFFFFFF) >> (32 - cache_bits)
+        key[start[cached]] = s[cached] - 280
+        key = key[root]
+        order = np.argsort(key, kind="stable")
+        before = np.full(total, total)
+        same = key[order[1:]] == key[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        to[start[cached]] = before[start[cached]]
+    return argb[_roots(to)[:total]]
+
+
 # transforms: pixels as uint8 arrays (height, width, 4) in the order alpha, red, green, blue
 
 

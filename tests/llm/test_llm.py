@@ -173,6 +173,50 @@ def test_webp_round_trips(transforms, how):
         assert (webp.decode(webp.encode(image, transforms, **how)) == image).all()
 
 
+def file_of(width, height, bits):
+    """A file around bits, which are given in the order in which they are read."""
+    bits = "".join(bits.split())
+    body = b"\x2f" + ((width - 1) | (height - 1) << 14).to_bytes(4, "little") + int(bits[::-1], 2).to_bytes(-(-len(bits) // 8), "little")
+    return b"RIFF" + (12 + len(body)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body
+
+
+def test_webp_by_hand():
+    byte = lambda n: format(n, "08b")[::-1]
+    one = lambda n: "1 0 1" + byte(n)
+    # subtract green; green is 10 or 20, red 5, blue 7, alpha 255
+    codes = f"1 1 1 {byte(10)} {byte(20)} {one(5)} {one(7)} {one(255)} 1 0 0 0"
+    assert webp.decode(file_of(3, 1, f"1 01 0 0 0 {codes} 0 1 0")).tolist() == [[[15, 10, 17, 255], [25, 20, 27, 255], [15, 10, 17, 255]]]
+    # a palette of two colours, the second 1, 2, 3 and 0 more than the first; eight pixels in one byte, the first lowest
+    table = f"0 1 1 1 {byte(8)} {byte(2)} 1 1 1 {byte(9)} {byte(1)} 1 1 1 {byte(7)} {byte(3)} 1 1 1 {byte(255)} {byte(0)} 1 0 0 0"
+    # of two symbols the lesser has code 0: green 2 8, red 1 9, blue 3 7, alpha 0 255
+    index = f"{one(0b00000110)} {one(0)} {one(0)} {one(255)} 1 0 0 0"
+    first, second = [9, 8, 7, 255], [10, 10, 10, 255]
+    got = webp.decode(file_of(4, 1, f"1 11 {byte(1)} {table} 1 1 1 1  0 0 0 0  0 0 0 {index}"))
+    assert got.tolist() == [[first, second, second, first]]
+
+
+def test_media_uses_what_the_format_offers(monkeypatch):
+    import corpusloom.llm.webp as module
+
+    met = set()
+    read = module.read_tokens
+    monkeypatch.setattr(module, "read_tokens", lambda *a: (met.update(np.digitize(read(*a)[0][:, 0], (256, 280)).tolist()), read(*a))[1])
+    g = np.random.default_rng(2)
+    text = b" ".join(bytes(g.choice(list(b"etaoin"), g.integers(1, 4))) for _ in range(3000))
+    for raw in (text, text[:1000] * 3, bytes(g.integers(0, 256, 5000).astype(np.uint8)) * 2):
+        payload = media.padded(raw)
+        assert media.pixels(media.store([payload])[0]).tobytes() == payload
+    assert met == {0, 1, 2}  # literals, back-references, places in the cache
+    few = media.store([media.padded(b"abcdabcdefgh" * 500)])[0]
+    assert few[25] & 7 == 7 and media.pixels(few).tobytes() == media.padded(b"abcdabcdefgh" * 500)  # the palette transform
+
+
+def test_pixel_column(spark):
+    files = spark.createDataFrame([(1, 3, bytearray(media.store([media.padded(b"abc")])[0])), (2, None, None)], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in media.pixel_column(files).collect()}
+    assert (got[1].height, got[1].width, bytes(got[1].pixels)) == (1, 144, media.padded(b"abc")) and got[2].pixels is None and got[2].height is None
+
+
 def test_media_round_trips(docs, empty):
     payloads = [media.padded(p) for p in (b"", b"x", b"y" * 576, bytes(range(256)) * 9, ("é " * 400).encode(), b"z" * 200_000)]
     assert [len(p) for p in payloads[:3]] == [576, 576, 576]
