@@ -44,15 +44,22 @@ class Bits:
 # prefix codes
 
 
+@lru_cache
+def _reversed() -> np.ndarray:
+    """Numbers of 15 bits with their bits in reverse order."""
+    numbers, out = np.arange(1 << 15), np.zeros(1 << 15, np.int64)
+    for b in range(15):
+        out |= (numbers >> b & 1) << (14 - b)
+    return out
+
+
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """The codes that belong to code lengths, with their first bit lowest."""
     codes = np.zeros(len(lengths), np.int64)
-    code = 0
-    for n in range(1, 16):
-        for s in np.flatnonzero(lengths == n):
-            codes[s] = int(format(code, f"0{n}b")[::-1], 2)
-            code += 1
-        code <<= 1
+    used = np.flatnonzero(lengths)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    room = 1 << (15 - lengths[used])  # codes in order, as fractions of all 15-bit numbers
+    codes[used] = _reversed()[(np.cumsum(room) - room) & 32767]
     return codes
 
 
@@ -281,12 +288,15 @@ def read_tokens(data: bytes, at: int, n: int, codes: list[Prefix]) -> tuple[np.n
         symbol = green.symbol[slot]
         after = np.minimum(place + green.length[slot], end)
         ahead = after.copy()  # a place in the cache is its green symbol alone
-        lit = np.flatnonzero(symbol < 256)
-        to = after[lit]
-        for c in (red, blue, alpha):
-            if c.width:
-                to = np.minimum(to + c.length[w[to] & c.mask], end)
-        ahead[lit] = to
+        lit = symbol < 256
+        if red is blue is alpha:
+            step = np.minimum(place + red.length[w & red.mask], end)
+            np.copyto(ahead, step[step[step[after]]], where=lit)
+        else:
+            to = after
+            for c in (red, blue, alpha):
+                to = np.minimum(to + c.length[w[to] & c.mask], end) if c.width else to
+            np.copyto(ahead, to, where=lit)
         copy = np.flatnonzero((symbol >= 256) & (symbol < 280))
         to = np.minimum(after[copy] + _MORE[symbol[copy] - 256], end)
         code = far.symbol[w[to] & far.mask]
@@ -528,7 +538,7 @@ def code_lengths(counts: np.ndarray, limit: int = 15) -> np.ndarray:
 
 
 def write_prefix(out: Writer, lengths: np.ndarray) -> None:
-    used = np.flatnonzero(lengths)
+    used, lengths = np.flatnonzero(lengths), lengths.tolist()
     if len(used) <= 2 and (not len(used) or used.max() < 256):
         used = used if len(used) else np.array([0])
         out.put(1, 1)
@@ -634,19 +644,20 @@ def write_pixels(out: Writer, argb: np.ndarray, width: int, main: bool, cache_bi
             n, far = _extend(a), _extend(d)
             todo.append((g, [(0, 256 + n[0], n[1], n[2]), (4, far[0], far[1], far[2])]))
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    counts = [[np.zeros(n, np.int64) for n in sizes] for _ in range(groups)]
+    counts = [[[0] * n for n in sizes] for _ in range(groups)]
     for g, parts in todo:
         for k, s, _, _ in parts:
             counts[g][k][s] += 1
-    lengths = [[code_lengths(c) for c in own] for own in counts]
+    lengths = [[code_lengths(np.array(c)) for c in own] for own in counts]
     for own in lengths:
         for x in own:
             write_prefix(out, x)
-    codes = [[canonical(x) for x in own] for own in lengths]
+    codes = [[canonical(x).tolist() for x in own] for own in lengths]
+    # the only symbol of a code takes no bits
+    spent = [[x.tolist() if np.count_nonzero(x) > 1 else [0] * len(x) for x in own] for own in lengths]
     for g, parts in todo:
         for k, s, more, bits in parts:
-            if np.count_nonzero(lengths[g][k]) > 1:
-                out.put(codes[g][k][s], lengths[g][k][s])
+            out.put(codes[g][k][s] if spent[g][k][s] else 0, spent[g][k][s])
             out.put(more, bits)
 
 

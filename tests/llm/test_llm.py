@@ -202,7 +202,7 @@ def test_media_uses_what_the_format_offers(monkeypatch):
     read = module.read_tokens
     monkeypatch.setattr(module, "read_tokens", lambda *a: (met.update(np.digitize(read(*a)[0][:, 0], (256, 280)).tolist()), read(*a))[1])
     g = np.random.default_rng(2)
-    text = b" ".join(bytes(g.choice(list(b"etaoin"), g.integers(1, 4))) for _ in range(3000))
+    text = b" ".join(bytes(g.choice(list(b"etaoin"), g.integers(1, 4)).tolist()) for _ in range(3000))
     for raw in (text, text[:1000] * 3, bytes(g.integers(0, 256, 5000).astype(np.uint8)) * 2):
         payload = media.padded(raw)
         assert media.pixels(media.store([payload])[0]).tobytes() == payload
