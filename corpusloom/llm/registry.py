@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import byte_bpe, fingerprints, jaccard_join, language_id, line_dedup, media, mixing, quality_fm, substring_dedup, token_counts
+from corpusloom.llm import byte_bpe, fingerprints, jaccard_join, language_id, line_dedup, media, mixing, quality_fm, substring_dedup, token_counts, word_bpe
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_source_mix": mixing.op10_source_mix,
+        "op11_word_bpe": word_bpe.op11_word_bpe,
     }
 
 
