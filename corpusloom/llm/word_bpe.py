@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 from functools import lru_cache
 
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from corpusloom.llm.store import Memo, in_batches, read
 
 VOCABULARY = "word_bpe_49k.json"
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
+#: Pairs whose compatibility is remembered.
+MEMO_PAIRS = 200_000
 #: Longer words are not remembered.
 MEMO_LENGTH = 256
 #: Tokens that are decoded at once.
@@ -105,7 +108,7 @@ class WordBpe:
 
     def _ready_automaton(self, symbols: dict[int, str]) -> None:
         """The automaton holds the tokens that merging their own letters gives, the others can't be in any result."""
-        self.compatible_pairs = Memo(self._compatible, 1_000_000)
+        self.compatible_pairs = Memo(self._compatible, MEMO_PAIRS)
         self.size = [0] * len(self.shown)
         for i, s in symbols.items():
             self.size[i] = len(s)
@@ -119,13 +122,9 @@ class WordBpe:
             self.shorter[i] = next((whole[s[:k]] for k in range(len(s) - 1, 0, -1) if s[:k] in whole), -1)
         older = self.pattern.replace(r"\p{L}", rf"[\p{{L}}--{NEWER_CLASS}]").replace(r"\p{N}", rf"[\p{{N}}--{NEWER_CLASS}]")
         self.split, self.split_newer, self.newer = regex.compile(self.pattern), regex.compile(older, regex.V1), re.compile(NEWER_CLASS)
-        self.capital = re.compile("[" + "".join(map(chr, SMALL)) + "]")
+        self.rare = frozenset(map(chr, [*SMALL, *(c for a, b in NEWER for c in range(a, b + 1))]))
         self.memo = WordMemo(self._word, MEMO_WORDS)
         self.apart = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        raw = [f"{t} ".encode() for t in self.shown]
-        self.table = np.frombuffer(b"".join(raw), np.uint8)
-        self.length = np.array([len(x) for x in raw])
-        self.offset = np.cumsum(self.length) - self.length
 
     def _is_result(self, i: int) -> bool:
         """Both halves of a token are results of merging, and so is the token if no merge across its border comes before its own."""
@@ -179,23 +178,34 @@ class WordBpe:
 
     def _word(self, word: str) -> bytes:
         s = word.encode().decode("latin-1")
-        return np.array(self.merged(s[:-1] + chr(ord(s[-1]) + 256)), "<u4").tobytes()
+        ids = self.merged(s[:-1] + chr(ord(s[-1]) + 256))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _plain(self, text: str) -> bytes:
         split = self.split
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-            if self.capital.search(text):
+            if not self.rare.isdisjoint(text):
                 text = text.translate(SMALL)
-            if self.newer.search(text):
-                split = self.split_newer
+                split = self.split_newer if self.newer.search(text) else split
         return b"".join(map(self.memo.__getitem__, split.findall(text.lower())))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers. White space only parts words, so it needn't be squeezed."""
         if self.apart is None or not any(t in text for t in self.added):
             return self._plain(text)
-        return b"".join(np.uint32(self.added[x]).astype("<u4").tobytes() if i % 2 else self._plain(x) for i, x in enumerate(self.apart.split(text)))
+        return b"".join(struct.pack("<I", self.added[x]) if i % 2 else self._plain(x) for i, x in enumerate(self.apart.split(text)))
+
+
+class OffsetTable:
+    """Decoding: the strings of all tokens lie end to end in one array, and each id has its offset and length there."""
+
+    def __init__(self, model: dict):
+        ids = {i: t for t, i in model["model"]["vocab"].items()} | {t["id"]: t["content"] for t in model["added_tokens"]}
+        raw = [f"{ids.get(i, '')} ".encode() for i in range(max(ids) + 1)]
+        self.table = np.frombuffer(b"".join(raw), np.uint8)
+        self.length = np.array([len(x) for x in raw])
+        self.offset = np.cumsum(self.length) - self.length
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The tokens' strings in UTF-8 with a blank between them, gathered from the offset table."""
@@ -214,6 +224,11 @@ def tokenizer(content: str) -> WordBpe:
     return WordBpe(json.loads(content))
 
 
+@lru_cache(maxsize=2)
+def offset_table(content: str) -> OffsetTable:
+    return OffsetTable(json.loads(content))
+
+
 def shared_vocabulary(spark: SparkSession, path: str | None):
     """The vocabulary file's text as a broadcast: its size is the file's, whatever the data."""
     import public_tokenizers
@@ -227,21 +242,22 @@ def _others(df: DataFrame, *taken: str) -> tuple[list[str], list[str]]:
     return [f.name for f in own], [f"`{f.name}` {f.dataType.simpleString()}" for f in own]
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(text, ...) -> docs' other columns, n_tokens long, ids array<int>."""
+def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> DataFrame:
+    """(text, ...) -> docs' other columns, n_tokens long, ids array<int> and, if asked for, decoded: the text of these ids."""
     shared = shared_vocabulary(docs.sparkSession, path)
-    names, kinds = _others(docs, "text", "n_tokens", "ids")
+    names, kinds = _others(docs, "text", "n_tokens", "ids", *["decoded"] * decoded)
 
     def run(batch):
-        t = tokenizer(shared.value)
-        for k in range(0, batch.num_rows, 200):
-            part = batch.slice(k, 200)
+        t, table = tokenizer(shared.value), offset_table(shared.value) if decoded else None
+        for k in range(0, batch.num_rows, 100):
+            part = batch.slice(k, 100)
             found = [t.encode(x or "") for x in part.column("text").to_pylist()]
             n = np.array([len(x) // 4 for x in found], np.int64)
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
-            yield [*(part.column(c) for c in names), pa.array(n), ids]
+            back = [pa.array([table.decode(np.frombuffer(x, "<u4")) for x in found], pa.binary()).cast(pa.string())] if decoded else []
+            yield [*(part.column(c) for c in names), pa.array(n), ids, *back]
 
-    return in_batches(docs.select(*names, "text"), run, ", ".join([*kinds, "n_tokens long", "ids array<int>"]))
+    return in_batches(docs.select(*names, "text"), run, ", ".join([*kinds, "n_tokens long", "ids array<int>", *["decoded string"] * decoded]))
 
 
 def decode(encoded: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
@@ -250,7 +266,7 @@ def decode(encoded: DataFrame, path: str | None = None, keep_ids: bool = False)
     names, kinds = _others(encoded, "text", *(() if keep_ids else ("ids",)))
 
     def run(batch):
-        t = tokenizer(shared.value)
+        t = offset_table(shared.value)
         for k in range(0, batch.num_rows, 200):
             part = batch.slice(k, 200)
             texts = [t.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid and len(x) else b"" for x in part.column("ids")]
@@ -260,6 +276,6 @@ def decode(encoded: DataFrame, path: str | None = None, keep_ids: bool = False)
 
 
 def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decode(encode(read(spark, sf_dir, "documents").select("doc_id", "text")), keep_ids=True)
+    out = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), decoded=True)
     ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
-    return out.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"))
+    return out.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
