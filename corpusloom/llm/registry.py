@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import byte_bpe, fingerprints, jaccard_join, language_id, line_dedup, media, mixing, quality_fm, substring_dedup, token_counts, word_bpe
+from corpusloom.llm import byte_bpe, fingerprints, jaccard_join, language_id, line_dedup, media, mixing, phrases, quality_fm, substring_dedup, token_counts, variants, word_bpe
 
 
 def queries() -> dict:
@@ -18,8 +18,10 @@ def queries() -> dict:
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_source_mix": mixing.op10_source_mix,
         "op11_word_bpe": word_bpe.op11_word_bpe,
+        "op12_collocations": phrases.op12_collocations,
+        "op13_variants": variants.op13_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_suffix_dedup": substring_dedup.OP3_SQL, "op6_line_dedup": line_dedup.OP6_SQL, "op9_jaccard_join": jaccard_join.OP9_SQL}
+    return {"op3_suffix_dedup": substring_dedup.OP3_SQL, "op6_line_dedup": line_dedup.OP6_SQL, "op9_jaccard_join": jaccard_join.OP9_SQL, "op12_collocations": phrases.OP12_SQL, "op13_variants": variants.OP13_SQL}
