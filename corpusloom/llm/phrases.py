@@ -151,12 +151,13 @@ def scanned(shard: DataFrame, step: int, shards: int, since) -> DataFrame:
     return shard.select("lang", "text").mapInArrow(run, PARTIAL)
 
 
-def reached(state: DataFrame, k: int, min_count: int) -> np.ndarray:
-    """The slots of the phrases of k words that reached the threshold, as bits of a map of fixed size."""
+def reached(state: DataFrame, min_count: int) -> list[np.ndarray]:
+    """The slots of the phrases of each length that reached the threshold, as bits of maps of fixed size."""
     slot = F.col("slot").cast("long") + 1  # the maps' places count from 1
-    rows = state.where((F.col("k") == k) & (F.col("n") >= min_count)).groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-    found = [np.flatnonzero(np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")) + (r.b - 1) * BITMAP for r in rows.collect()]
-    return np.concatenate(found) if found else np.zeros(0, np.int64)
+    rows = state.where((F.col("k") > 0) & (F.col("k") < LENGTHS) & (F.col("n") >= min_count))
+    rows = rows.groupBy("k", F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    found = [[np.flatnonzero(np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")) + (r.b - 1) * BITMAP for r in rows if r.k == k] for k in range(1, LENGTHS)]
+    return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in found]
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, shards: int = SHARDS, slot_bits: int = SLOT_BITS) -> tuple[DataFrame, DataFrame]:
@@ -183,11 +184,10 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, shards: int =
         if old:
             forget(spark, old)
         shared.destroy()
-        for k in range(1, LENGTHS):
-            slots = reached(state, k, min_count)
-            new = slots[since[k - 1][slots] == NONE]
+        for array, slots in zip(since, reached(state, min_count), strict=True):
+            new = slots[array[slots] == NONE]
             if len(new):
-                since[k - 1][new] = step
+                array[new] = step
                 last = step
         step += 1
     forget(spark, f"{base}/shards")
