@@ -96,37 +96,4 @@ WORDS = r"w AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELE
 query("fl11_flagged_words", f"WITH {WORDS} SELECT doc_id, count(*) FILTER (WHERE bad)::BIGINT AS bad, count(*)::BIGINT AS words FROM b GROUP BY doc_id")(lambda spark, sf: flags(spark, sf).groupBy("doc_id").agg(F.count_if("bad").alias("bad"), F.count("*").alias("words")))
 query("tx23_redacted", f"WITH {WORDS}, m AS (SELECT *, lag(bad) OVER (PARTITION BY doc_id ORDER BY i) AS b0 FROM b) SELECT doc_id, string_agg(CASE WHEN bad THEN '[…]' ELSE word END, ' ' ORDER BY i) FILTER (WHERE NOT (bad AND coalesce(b0, false))) AS text, count(*) FILTER (WHERE bad)::BIGINT AS n_bad FROM m GROUP BY doc_id")(lambda spark, sf: R.redacted(flags(spark, sf)))
 query("tx24_segments", r"SELECT doc_id, list_filter(list_transform(string_split(text, 'tion'), lambda x: trim(x, ' ')), lambda x: regexp_matches(x, '[\p{L}\p{N}]')) AS segments FROM documents")(lambda spark, sf: docs(spark, sf).select("doc_id", R.marker_segments("text", "tion").alias("segments")))
-MARKS = {"safe": ("and", "the"), "wide": ("and", "the", "of", "to")}
-
-
-@query("tx25_restress")
-def tx25_restress(spark, sf):
-    """A stress mark before the first vowel of words of the listed classes; the text stays as it is if word counts differ."""
-    words = F.split("text", " ")
-    marked = F.transform(words, lambda w: F.when(F.lower(w).isin(*MARKS["wide"]), F.regexp_replace(w, f"([{T.VOWELS}])", "'$1")).otherwise(w))
-    same = F.size(marked) == F.size(words)
-    return docs(spark, sf).select("doc_id", F.when(same, F.array_join(marked, " ")).otherwise(F.col("text")).alias("text"))
-
-
-def audit(spark, sf):
-    """Rule and stressed vowel of each distinct word: the last vowel, but for listed endings that move it back."""
-    words = docs(spark, sf).select(F.explode(T.letter_words("text")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    vowels = F.char_length(F.regexp_replace("word", f"[^{T.VOWELS}]", ""))
-    rule = F.when(vowels == 0, "no_vowel").when(vowels == 1, "one_vowel").when(F.col("word").rlike("(tion|ment|ung)$"), "unstressed_ending").otherwise("last_vowel")
-    place = F.when(rule == "unstressed_ending", F.greatest(F.lit(1), vowels - 1)).when(vowels > 0, vowels)
-    return words.select("word", "n", rule.alias("rule"), place.alias("stressed"))
-
-
-query("cl5_stress_audit", rf"WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(translate(text, 'Iİ', 'ıi')), '\p{{L}}+')) AS word FROM documents) GROUP BY word), v AS (SELECT *, length(regexp_replace(word, '[^{T.VOWELS}]', '', 'g')) AS v FROM w) SELECT CASE WHEN v = 0 THEN 'no_vowel' WHEN v = 1 THEN 'one_vowel' WHEN regexp_matches(word, '(tion|ment|ung)$') THEN 'unstressed_ending' ELSE 'last_vowel' END AS rule, count(*)::BIGINT AS words, sum(n)::BIGINT AS n FROM v GROUP BY 1")(lambda spark, sf: audit(spark, sf).groupBy("rule").agg(F.count("*").alias("words"), F.sum("n").alias("n")))
-
-
-@query("tx26_restress_from_audit")
-def tx26_restress_from_audit(spark, sf):
-    """Words of the audit with a mark at their stressed vowel, joined back and put in order; rows by document."""
-    words = docs(spark, sf).select("doc_id", F.posexplode(F.split("text", " ")).alias("at", "raw")).withColumn("word", F.regexp_replace(T.az_lower("raw"), r"[^\p{L}]", ""))
-    both = words.join(audit(spark, sf).select("word", "stressed"), "word", "left")
-    shown = F.when(F.col("stressed").isNotNull(), F.concat(F.col("raw"), F.lit("_"), F.col("stressed"))).otherwise(F.col("raw"))
-    return both.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", shown.alias("w")))), lambda x: x["w"]), " ").alias("text"), F.count_if(F.col("stressed").isNull()).alias("unknown"))
-
-
 query("tx27_paragraphs", "SELECT doc_id, i::INT AS pos, parts[i] AS paragraph FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)) WHERE trim(parts[i]) <> ''")(lambda spark, sf: docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "paragraph")).where("trim(paragraph) <> ''").select("doc_id", (F.col("p") + 1).alias("pos"), "paragraph"))
