@@ -17,6 +17,7 @@ from corpusloom.operators.storage import kept
 from corpusloom.plans.base import lines, table, with_lines
 from corpusloom.sources import jsonl as J
 from corpusloom.streaming import metric_log as M
+from corpusloom.streaming import restarts as R
 
 
 def folder(spark):
@@ -204,6 +205,33 @@ query("st1_incremental_read", f"WITH {RUNS} SELECT run, count(*)::BIGINT AS n, m
 query("st2_latest_run", f"WITH {RUNS} SELECT run, step FROM m WHERE run = (SELECT max(run) FROM m)")(lambda spark, sf: M.latest_run(followed(spark, sf)).select("run", "step"))
 
 
+#: Runs r1 and r2 begin anew at every fourth and eighth flush of 300 events; r0 never does.
+FLUSHES = "f AS (SELECT user_id % 3 AS k, event_id AS step, event_id // 300 AS flush, value AS loss FROM events), g AS (SELECT 'r' || k AS run, CASE k WHEN 0 THEN 0 ELSE flush // (4 * k) END AS part, step, loss FROM f), h AS (SELECT *, dense_rank() OVER (PARTITION BY run ORDER BY part) - 1 AS generation FROM g)"
+
+
+def chunk_files(spark, sf):
+    """Events as chunks of three logs that begin anew under the same names."""
+    e = table(spark, sf, "events").select((F.col("user_id") % 3).alias("k"), F.col("event_id").alias("step"), F.floor(F.col("event_id") / 300).alias("flush"), F.col("value").alias("loss"))
+    part = F.when(F.col("k") == 0, F.lit(0)).otherwise(F.floor(F.col("flush") / (4 * F.greatest("k", F.lit(1)))))
+    lines = e.select(F.concat(F.lit("r"), "k").alias("run"), part.alias("part"), "flush", "step", F.to_json(F.struct("step", "loss")).alias("line"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "line"))), lambda x: x["line"]), "\n")
+    chunks = lines.groupBy("run", "part", "flush").agg(text.alias("value")).withColumn("size", F.octet_length("value") + 1)  # the writer ends the last line
+    log = Window.partitionBy("run", "part").orderBy("flush").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumns({"start": F.coalesce(F.sum("size").over(log), F.lit(0)), "seq": F.row_number().over(Window.partitionBy("run").orderBy("flush")) - 1})
+    path = folder(spark)
+    chunks.select("run", "seq", "start", "value").repartition("run", "seq").write.partitionBy("run", "seq", "start").text(path)
+    return path
+
+
+@query("st2_restarts", f"WITH {FLUSHES} SELECT run, generation::INT AS generation, count(*)::BIGINT AS n, min(step) AS first_step, max(step) AS last_step, round(sum(loss), 4) AS loss FROM h GROUP BY run, generation")
+def st2_restarts(spark, sf):
+    """The generations of logs that shrank, followed by a stateful stream."""
+    out, seen = folder(spark), folder(spark)
+    R.follow_generations(spark, chunk_files(spark, sf), out, seen, "step long, loss double").awaitTermination()
+    rows = spark.read.schema("run string, generation int, step long, loss double").parquet(out)
+    return rows.groupBy("run", "generation").agg(F.count("*").alias("n"), F.min("step").alias("first_step"), F.max("step").alias("last_step"), F.round(F.sum("loss"), 4).alias("loss"))
+
+
 def attempts(spark, sf):
     e = table(spark, sf, "events")
     rows = e.select(F.lit("r").alias("run"), (F.col("user_id") % 2).cast("int").alias("attempt"), (F.col("event_id") % 3000).alias("step"), F.col("event_id").alias("loss"))
