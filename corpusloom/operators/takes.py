@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.operators.selection import Place, selected
+
 
 @dataclass(frozen=True)
 class GateRules:
@@ -128,20 +130,24 @@ def drop_reasons(chosen: DataFrame) -> DataFrame:
 def bias_guard(chosen: DataFrame, scores: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Medians of measures, of the chosen takes and of all, ineligible ones included."""
     both = chosen.where("take is not null").select(F.lit("chosen").alias("part"), *keys).unionByName(scores.select(F.lit("all").alias("part"), *keys))
-    return both.groupBy("part").agg(*(F.round(F.percentile(number(k), F.lit(0.5)), 4).alias(k) for k in keys))
+    found = selected(both, ["part"], {k: Place(F.col(k), 0.5) for k in keys})
+    return found.select("part", *(F.round(k, 4).alias(k) for k in keys))
 
 
 def order_statistics(rows: DataFrame, value: str, places: dict[str, float]) -> DataFrame:
-    """Values at floor(n q) of the sorted list, without interpolation."""
-    sorted_values = F.array_sort(F.collect_list(number(value)))
-    by = rows.groupBy("cat").agg(sorted_values.alias("v"))
-    return by.where(F.size("v") > 0).select("cat", *(F.element_at("v", (F.floor(F.size("v") * F.lit(q)) + 1).cast("int")).alias(k) for k, q in places.items()))
+    """Values at floor(n q) of the sorted values by category, without interpolation; categories without values are left out."""
+    found = selected(rows, ["cat"], {k: Place(F.col(value), q, False) for k, q in places.items()}, {"_n": F.count(number(value))})
+    return found.where("_n > 0").drop("_n")
+
+
+#: The gates as percentiles: measure and share.
+GATES = {"min_similarity": ("similarity", 0.02), "min_buzz": ("buzz", 0.10), "max_ring": ("ring", 0.90), "min_range_st": ("range_st", 0.02), "exclamation_range_st": ("range_st", 0.25)}
 
 
 def calibration(scores: DataFrame) -> DataFrame:
-    """The gates as exact percentiles (2, 10, 90, 2, 25), to four places."""
-    p = lambda c, q: F.round(F.percentile(number(c), F.lit(q)), 4)
-    return scores.agg(p("similarity", 0.02).alias("min_similarity"), p("buzz", 0.10).alias("min_buzz"), p("ring", 0.90).alias("max_ring"), p("range_st", 0.02).alias("min_range_st"), p("range_st", 0.25).alias("exclamation_range_st"))
+    """The gates as exact percentiles, to four places."""
+    found = selected(scores, [], {k: Place(F.col(m), q) for k, (m, q) in GATES.items()})
+    return found.select(*(F.round(k, 4).alias(k) for k in GATES))
 
 
 def against_baseline(rows: DataFrame, baseline: str, key: str = "index", version: str = "version") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.catalog import query
+from corpusloom.operators import selection as Q
 from corpusloom.operators import takes as K
 from corpusloom.plans.base import table
 
@@ -70,8 +71,9 @@ def jn3_against_baseline(spark, sf):
 @query("ag7_gap_medians", f"WITH {LI} SELECT 'v' || a.take AS version, round(median(a.buzz / b.buzz), 6) AS ratio, round(median(a.seconds - b.seconds), 6) AS diff, round(median(a.range_st - b.range_st) FILTER (WHERE a.cat = 'A'), 6) AS rising_diff FROM t a JOIN t b ON a.id = b.id AND b.take = 1 WHERE a.take <> 1 GROUP BY 1")
 def ag7_gap_medians(spark, sf):
     both = K.against_baseline(versions(spark, sf), "v1")
-    half = lambda c: F.round(F.percentile(c, F.lit(0.5)), 6)
-    return both.groupBy("version").agg(half(F.col("buzz") / F.col("base.buzz")).alias("ratio"), half(F.col("seconds") - F.col("base.seconds")).alias("diff"), half(F.when(F.col("cat") == "A", F.col("range_st") - F.col("base.range_st"))).alias("rising_diff"))
+    gaps = {"ratio": F.col("buzz") / F.col("base.buzz"), "diff": F.col("seconds") - F.col("base.seconds"), "rising_diff": F.when(F.col("cat") == "A", F.col("range_st") - F.col("base.range_st"))}
+    found = Q.selected(both, ["version"], {k: Q.Place(c, 0.5) for k, c in gaps.items()})
+    return found.select("version", *(F.round(k, 6).alias(k) for k in gaps))
 
 
 query("ag5_calibration", f"WITH {LI} SELECT round(quantile_cont(similarity, 0.02), 4) AS min_similarity, round(quantile_cont(buzz, 0.1), 4) AS min_buzz, round(quantile_cont(ring, 0.9), 4) AS max_ring, round(quantile_cont(range_st, 0.02), 4) AS min_range_st, round(quantile_cont(range_st, 0.25), 4) AS exclamation_range_st FROM t")(lambda spark, sf: K.calibration(scores(spark, sf)))
@@ -79,8 +81,9 @@ query("ag5_calibration", f"WITH {LI} SELECT round(quantile_cont(similarity, 0.02
 
 @query("ag6_version_medians", f"WITH {LI} SELECT take, cat, count(*)::BIGINT AS n, round(median(buzz), 6) AS buzz, round(median(end_drop_st), 6) AS drop_st FROM t GROUP BY GROUPING SETS ((take), (take, cat))")
 def ag6_version_medians(spark, sf):
-    half = lambda c: F.round(F.percentile(K.number(c), F.lit(0.5)), 6)
-    return scores(spark, sf).groupingSets([["take"], ["take", "cat"]], "take", "cat").agg(F.count("*").alias("n"), half("buzz").alias("buzz"), half("end_drop_st").alias("drop_st"))
+    rows = Q.grouping_sets(scores(spark, sf).select("take", "cat", "buzz", "end_drop_st"), ["take", "cat"], [["take"], ["take", "cat"]])
+    found = Q.selected(rows, ["_set", "take", "cat"], {"buzz": Q.Place(F.col("buzz"), 0.5), "drop_st": Q.Place(F.col("end_drop_st"), 0.5)}, {"n": F.count("*")})
+    return found.select("take", "cat", "n", F.round("buzz", 6).alias("buzz"), F.round("drop_st", 6).alias("drop_st"))
 
 
 @query("ag8_mean_interval", f"WITH {LI} SELECT cat, round(avg(buzz), 6) AS mean, round(1.96 * stddev_samp(buzz) / sqrt(count(buzz)), 6) AS half_width, max(buzz) AS most, round(sum(seconds), 4) AS seconds FROM t GROUP BY cat")
@@ -100,14 +103,17 @@ query("ag15_order_statistics", f"WITH {CHOSEN} SELECT cat, list_sort(list(end_dr
 
 @query("ag16_quality_report", f"WITH {CHOSEN} SELECT cat, take, count(*)::BIGINT AS n, round(sum(seconds) / 3600, 6) AS hours, round(median(seconds), 6) AS median_seconds FROM c GROUP BY GROUPING SETS ((cat), (take), ())")
 def ag16_quality_report(spark, sf):
-    return chosen(spark, sf).groupingSets([["cat"], ["take"], []], "cat", "take").agg(F.count("*").alias("n"), F.round(F.sum("seconds") / 3600, 6).alias("hours"), F.round(F.percentile("seconds", F.lit(0.5)), 6).alias("median_seconds"))
+    rows = Q.grouping_sets(chosen(spark, sf).select("cat", "take", "seconds"), ["cat", "take"], [["cat"], ["take"], []])
+    found = Q.selected(rows, ["_set", "cat", "take"], {"median_seconds": Q.Place(F.col("seconds"), 0.5)}, {"n": F.count("*"), "hours": F.round(F.sum("seconds") / 3600, 6)})
+    return found.select("cat", "take", "n", "hours", F.round("median_seconds", 6).alias("median_seconds"))
 
 
 @query("ag19_contour_summary", f"WITH {LI}, s AS (SELECT id, bool_or(range_st >= 2 AND end_drop_st < 1) AS any_take FROM t GROUP BY id) SELECT (SELECT round(avg((buzz > 50)::INT), 6) FROM t) AS jump_share, (SELECT round(median(range_st), 6) FROM t) AS range_st, (SELECT round(avg((range_st >= 2 AND coalesce(end_drop_st < 1, false))::INT), 6) FROM t) AS shape_share, (SELECT count(*) FILTER (WHERE any_take) FROM s)::BIGINT AS sentences")
 def ag19_contour_summary(spark, sf):
     shape = (F.col("range_st") >= 2) & F.coalesce(F.col("end_drop_st") < 1, F.lit(False))
     rows = scores(spark, sf)
-    one = rows.agg(F.round(F.avg((F.col("buzz") > 50).cast("int")), 6).alias("jump_share"), F.round(F.percentile("range_st", F.lit(0.5)), 6).alias("range_st"), F.round(F.avg(shape.cast("int")), 6).alias("shape_share"))
+    also = {"jump_share": F.round(F.avg((F.col("buzz") > 50).cast("int")), 6), "shape_share": F.round(F.avg(shape.cast("int")), 6)}
+    one = Q.selected(rows, [], {"range_st": Q.Place(F.col("range_st"), 0.5)}, also).withColumn("range_st", F.round("range_st", 6))
     any_take = rows.groupBy("id").agg(F.bool_or(shape).alias("any_take")).agg(F.count_if("any_take").alias("sentences"))
     return one.crossJoin(any_take)  # one row each
 
