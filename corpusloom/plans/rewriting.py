@@ -75,13 +75,67 @@ def tx21_chunks(spark, sf):
     return chunks.groupBy("doc_id").agg(F.sum(T.word_count("chunk")).alias("words"), (F.max(T.word_count("chunk")) <= 15).alias("within"))
 
 
-query("tx21_chunk_lengths")(lambda spark, sf: R.chunk_rows(docs(spark, sf), 15, conjunctions=("and", "und", "et", "y")).join(docs(spark, sf).select("doc_id", "source"), "doc_id").groupBy("source", T.word_count("chunk").alias("words")).agg(F.count("*").alias("n")))
+#: Chunks as SQL: clauses are parted by a recursive query.
+CONJ = ("and", "und", "et", "y")
+CHUNKS_SQL = rf"""
+WITH RECURSIVE sentences AS (
+  SELECT doc_id, source, s, list_filter(string_split(parts[s], ' '), lambda x: x <> '') AS ws, parts[s] AS whole
+  FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS s FROM (SELECT doc_id, source, list_filter(string_split(regexp_replace(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?;:]) ', '\1' || chr(1), 'g'), '^$', ''), chr(1)), lambda x: x <> '') AS parts FROM documents))
+), clauses AS (
+  SELECT doc_id, source, s, c, string_split(cs[c], ' ') AS ws FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS c FROM (SELECT doc_id, source, s, string_split(replace(whole, ', ', ',' || chr(1)), chr(1)) AS cs FROM sentences WHERE len(ws) > 15))
+), marked AS (
+  SELECT *, list_filter(range(1, len(ws) + 1), lambda i: list_contains(['and', 'und', 'et', 'y'], lower(trim(ws[i], ',.;:!?')))) AS conj FROM clauses
+), seg(doc_id, source, s, c, ws, conj, a, b) AS (
+  SELECT doc_id, source, s, c, ws, conj, 1::BIGINT, len(ws)::BIGINT FROM marked
+  UNION ALL
+  SELECT doc_id, source, s, c, ws, conj, unnest([a, cut]), unnest([cut - 1, b])
+  FROM (SELECT *, list_sort(list_transform(list_filter(conj, lambda i: i >= a + 2 AND i <= b - 2), lambda i: {{'far': abs(i - a - (b - a + 1) // 2), 'i': i}}))[1].i AS cut FROM seg WHERE b - a + 1 > 15) WHERE cut IS NOT NULL
+), ends AS (
+  SELECT *, unnest(range(a, b + 1, 15)) AS f FROM seg
+  WHERE b - a + 1 <= 15 OR len(list_filter(conj, lambda i: i >= a + 2 AND i <= b - 2)) = 0
+), chunks AS (
+  SELECT doc_id, source, s, 0 AS c, 1 AS f, whole AS chunk FROM sentences WHERE len(ws) BETWEEN 1 AND 15
+  UNION ALL SELECT doc_id, source, s, c - 1, f, array_to_string(ws[f:least(f + 14, b)], ' ') FROM ends
+)
+"""
+
+
+@query("tx21_chunk_texts", CHUNKS_SQL + "SELECT doc_id, (s - 1)::INT AS s, c::INT AS c, f::INT AS first, chunk FROM chunks")
+def tx21_chunk_texts(spark, sf):
+    return R.chunk_rows(docs(spark, sf), 15, conjunctions=CONJ).select("doc_id", "s", "k.c", F.col("k.a").alias("first"), "chunk")
+
+
+@query("tx21_chunk_lengths", CHUNKS_SQL + "SELECT source, len(string_split(chunk, ' '))::INT AS words, count(*)::BIGINT AS n FROM chunks GROUP BY ALL")
+def tx21_chunk_lengths(spark, sf):
+    chunks = R.chunk_rows(docs(spark, sf), 15, conjunctions=CONJ).join(docs(spark, sf).select("doc_id", "source"), "doc_id")
+    return chunks.groupBy("source", T.word_count("chunk").alias("words")).agg(F.count("*").alias("n"))
 
 
 @query("tx22_limited", r"SELECT doc_id, length(regexp_replace(text, '\s+', '', 'g'))::BIGINT AS letters, true AS within FROM documents WHERE length(regexp_replace(text, '\s+', '', 'g')) > 0")
 def tx22_limited(spark, sf):
+    """No letter is lost and every piece keeps to the limit, but for a mark just behind it."""
     pieces = R.limited_rows(docs(spark, sf), 280)
-    return pieces.groupBy("doc_id").agg(F.sum(F.char_length(F.regexp_replace("piece", r"\s+", ""))).alias("letters"), (F.max(F.char_length("piece")) <= 280).alias("within"))
+    return pieces.groupBy("doc_id").agg(F.sum(F.char_length(F.regexp_replace("piece", r"\s+", ""))).alias("letters"), (F.max(F.char_length("piece")) <= 281).alias("within"))
+
+
+PIECES_SQL = rf"""
+WITH RECURSIVE sentences AS (
+  SELECT doc_id, s, trim(parts[s], ' ') AS whole FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS s FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([{R.LIMIT_ENDS}]) ?', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') AS parts FROM documents))
+), taken(doc_id, s, k, piece, rest) AS (
+  SELECT doc_id, s, -1, NULL::VARCHAR, whole FROM sentences
+  UNION ALL
+  SELECT doc_id, s, k + 1, trim(left(rest, n), ' '), trim(substr(rest, n + 1), ' ') FROM (
+    SELECT *, CASE WHEN length(rest) <= 40 THEN length(rest) WHEN m >= 21 THEN m WHEN b >= 20 THEN b ELSE 40 END AS n FROM (
+      SELECT *, length(regexp_extract(left(rest, 41), '^(.*[{R.LIMIT_MARKS}])', 1)) AS m, length(regexp_extract(left(rest, 41), '^(.* )', 1)) - 1 AS b FROM taken WHERE rest <> ''))
+)
+SELECT doc_id, (s - 1)::INT AS s, k::INT AS k, piece FROM taken WHERE k >= 0
+"""
+
+
+@query("tx22_pieces", PIECES_SQL)
+def tx22_pieces(spark, sf):
+    """Pieces of forty characters, so that most sentences are cut."""
+    return R.limited_rows(docs(spark, sf), 40)
 
 
 STEMS, CLEAN = ("tion", "scum"), ("tions",)
