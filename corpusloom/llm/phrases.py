@@ -1,13 +1,14 @@
 """Phrase collocations by dynamic itemset counting.
 
-The corpus is written in shards, which are scanned in turn, again and again. Words are counted from the first scan on. After
+The corpus is written in shards, as word numbers with the words of each block, and the shards are scanned in turn, again and
+again. Words are counted from the first scan on. After
 each scan, a phrase whose two subphrases (all words but the last, all but the first) have reached the threshold so far is
 active, and is counted in the next scans until it has seen each shard once. So lengths interleave: pairs start while words
 are still being counted. The scans end when no phrase is left whose cycle is incomplete.
 
 What is active is kept in an array of fixed size for each length: the scan after which the first phrase of a slot reached the
-threshold. Both subphrases' slots tell when a phrase became active, the same in each later scan, so each phrase is counted
-over exactly one cycle. Phrases that share a slot may make further phrases active; those are counted exactly too and stay
+threshold. Both subphrases' slots, and the scans after which they were active themselves, tell when a phrase became active,
+the same in each later scan, so each phrase is counted over exactly one cycle. Phrases that share a slot may make further phrases active; those are counted exactly too and stay
 below the threshold. Nothing that grows with the corpus is broadcast or collected. Counts are sums of partial sums, so a
 language or a phrase with most of the rows is no hot group.
 
@@ -29,14 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.store import forget, in_batches, lower_az, read, shared_dir, written
+from corpusloom.llm.store import forget, read, shared_dir, written
 
 SHARDS = 4
 LENGTHS = 4
 MIN_COUNT = 30
 #: Slots of a length's array: 2^24 bytes each.
 SLOT_BITS = 24
-#: Tokens that a task holds before it sums them up.
+#: Tokens that a task holds before they become blocks.
 TASK_TOKENS = 1_500_000
 NONE = 255
 #: Bits of a map that bitmap_construct_agg makes.
@@ -45,6 +46,7 @@ BITMAP = 8 * 4096
 ORDERED_ROWS = 50_000
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 TOKEN = re.compile(r"[.,;:!?\n-\r]|[^ \t.,;:!?\n-\r]+")
+BLOCK = "shard int, lang string, words array<string>, tokens binary"
 PARTIAL = "lang string, k int, phrase string, active int, slot int, n long"
 
 
@@ -55,13 +57,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Scan:
-    """One scan of a shard in a task: tokens of a language gather until they are summed up."""
+class Packer:
+    """Texts of a task as blocks: a language's words and the numbers of its tokens among them, marks and text ends as breaks."""
 
-    def __init__(self, step: int, shards: int, since: list[np.ndarray], tokens: int = TASK_TOKENS):
-        self.step, self.shards, self.since, self.limit = step, shards, since, tokens
+    def __init__(self, tokens: int):
+        self.limit, self.held = tokens, 0
         self.buffers: dict[str, tuple] = {}
-        self.held = 0
 
     def add(self, lang: str, text: str):
         if lang not in self.buffers:
@@ -70,18 +71,37 @@ class Scan:
                 number[c]
             self.buffers[lang] = (number, [])
         number, parts = self.buffers[lang]
-        parts.append(np.fromiter(map(number.__getitem__, TOKEN.findall(text)), np.int64))
-        parts.append(np.zeros(1, np.int64))
-        self.held += len(parts[-2]) + 1
+        # A-Z become small, as bytes of other letters are not touched
+        found = TOKEN.findall(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+        parts.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
+        parts.append(np.zeros(1, np.int32))
+        self.held += len(found) + 1
         if self.held >= self.limit:
             yield from self.flush()
 
     def flush(self):
         for lang, (number, parts) in self.buffers.items():
-            yield from self._sums(lang, list(number), np.concatenate(parts))
+            yield lang, list(number), np.concatenate(parts)
         self.buffers, self.held = {}, 0
 
-    def _sums(self, lang: str, words: list[str], a: np.ndarray):
+
+def _counted(keys: np.ndarray):
+    """For each distinct key a place where it stands and how often it comes, and the number of each place's key."""
+    order = np.argsort(keys)
+    new = np.flatnonzero(np.diff(keys[order], prepend=keys[order[0]] - 1))
+    n = np.diff(new, append=len(keys))
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.repeat(np.arange(len(new)), n)
+    return order[new], inverse, n
+
+
+class Scan:
+    """One scan of a shard in a task."""
+
+    def __init__(self, step: int, shards: int, since: list[np.ndarray]):
+        self.step, self.shards, self.since = step, shards, since
+
+    def sums(self, lang: str, words: list[str], a: np.ndarray):
         """Partial sums of all phrases that are to be counted in this scan."""
         seed = xxhash.xxh3_64_intdigest(lang)
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
@@ -112,7 +132,7 @@ class Scan:
             if not len(at):
                 return
             # numbers of the phrases at these places: exact, from the number of the first words and the last word
-            keys, first, inverse, n = np.unique(group[at] * len(words) + a[at + k - 1], return_index=True, return_inverse=True, return_counts=True)
+            first, inverse, n = _counted(group[at] * len(words) + a[at + k - 1])
             places = at[first]
             slots, act = self._slots(h[places]), active[places]
             counted = act.astype(np.int64) + self.shards >= self.step
@@ -122,7 +142,8 @@ class Scan:
                 yield out(k, phrases, act[counted], slots[counted], n[counted])
             if k < LENGTHS:
                 s = np.full(len(active), NONE, np.uint8)
-                s[at] = self.since[k - 1][slots][inverse]
+                # a slot that others reached before the phrase was active counts from then on only
+                s[at] = np.maximum(self.since[k - 1][slots], act)[inverse]
                 group = np.full(len(active), -1)
                 group[at] = inverse
 
@@ -130,25 +151,60 @@ class Scan:
         return (hashes >> np.uint64(64 - int(np.log2(len(self.since[0]))))).astype(np.int64)
 
 
-def scanned(shard: DataFrame, step: int, shards: int, since) -> DataFrame:
-    """(lang, text) -> partial sums; since is a broadcast of the arrays."""
-    import pyarrow as pa
-
+def _arrow(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    arrow = to_arrow_schema(_parse_datatype_string(PARTIAL))
+    return to_arrow_schema(_parse_datatype_string(schema))
+
+
+def packed(docs: DataFrame, shards: int) -> DataFrame:
+    """(lang, text) -> blocks (shard, lang, words, tokens: 32-bit numbers); a task deals its blocks to the shards in turn."""
+    schema, limit = _arrow(BLOCK), TASK_TOKENS
 
     def run(batches):
-        scan = Scan(step, shards, [np.frombuffer(x, np.uint8) for x in since.value])
+        from pyspark import TaskContext
+
+        packer, turn = Packer(limit), count(TaskContext.get().partitionId())
+
+        def rows(blocks):
+            for lang, words, tokens in blocks:
+                yield pa.RecordBatch.from_pylist([{"shard": next(turn) % shards, "lang": lang, "words": words, "tokens": tokens.astype("<i4").tobytes()}], schema=schema)
+
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
-                for columns in scan.add(lang, text.as_py()):
-                    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
-        for columns in scan.flush():
-            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+                yield from rows(packer.add(lang, text.as_py() or ""))
+        yield from rows(packer.flush())
+
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, BLOCK)
+
+
+def scanned(shard: DataFrame, step: int, shards: int, since) -> DataFrame:
+    """Blocks -> partial sums; since is a broadcast of the arrays."""
+    schema = _arrow(PARTIAL)
+
+    def run(batches):
+        scan = Scan(step, shards, [np.frombuffer(x, np.uint8) for x in since.value])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                tokens = np.frombuffer(batch.column("tokens")[i].as_py(), "<i4").astype(np.int64)
+                for columns in scan.sums(batch.column("lang")[i].as_py(), batch.column("words")[i].as_py(), tokens):
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return small_batches(shard.select("lang", "words", "tokens"), run, PARTIAL)
+
 
-    return shard.select("lang", "text").mapInArrow(run, PARTIAL)
+def small_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow with one row a batch, as a row is a whole block."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, "1")
+    try:
+        out = df.mapInArrow(run, schema)
+        out._jdf.queryExecution().executedPlan()  # the setting is read here
+        return out
+    finally:
+        conf.set(name, before)
 
 
 def reached(state: DataFrame, min_count: int) -> list[np.ndarray]:
@@ -165,10 +221,8 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, shards: int =
     all words."""
     spark = docs.sparkSession
     base = shared_dir(spark)
-    text = F.coalesce(lower_az(F.col("text")), F.lit(""))
-    dealt = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text.alias("text"), F.pmod(F.xxhash64("lang", "text", F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"))
-    dealt.where("text <> ''").write.partitionBy("shard").parquet(f"{base}/shards")
-    corpus = spark.read.schema("lang string, text string, shard int").parquet(f"{base}/shards")
+    packed(docs, shards).write.partitionBy("shard").parquet(f"{base}/shards")
+    corpus = spark.read.schema(BLOCK).parquet(f"{base}/shards")
     since = [np.full(1 << slot_bits, NONE, np.uint8) for _ in range(LENGTHS - 1)]
     state, path, step, last = None, None, 0, -1
     while step < shards or step <= last + shards:

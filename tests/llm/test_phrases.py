@@ -80,7 +80,7 @@ def test_slots_shared_by_phrases_change_nothing(spark):
 
 
 def test_tokens_summed_up_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(phrases.Scan.__init__, "__defaults__", (50,))
+    monkeypatch.setattr(phrases, "TASK_TOKENS", 50)
     rows = table(120, 3)
     assert rows_of(phrases.collocations(frame(spark, rows), 2000, 15)) == brute(rows, 15, 2000)
 
