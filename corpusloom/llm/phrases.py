@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.store import forget, read, shared_dir, written
 
-SHARDS = 4
+SHARDS = 3
 LENGTHS = 4
 MIN_COUNT = 30
 #: Slots of a length's array: 2^24 bytes each.
