@@ -12,15 +12,13 @@ from corpusloom.plans.base import LINES, lines, table
 #: A replaced word is in no text, so the alignment is forced; the word's letters are swapped one for one.
 PLANTED = {"dataset": 11, "base": 5, "step": 7}
 WORDS = r"list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z\s]', ' ', 'g'), '\s+'), lambda x: x <> '')"
-BASE = f"{LINES}, clauses AS (SELECT id, src, seq, parts[part + 1] AS text, part FROM (SELECT id, src, seq, parts, unnest(range(0, len(parts))) AS part FROM (SELECT id, src, seq, string_split_regex(text, '[.!?,]+') AS parts FROM lines))), w AS (SELECT (id * 1000 + seq) * 10000 + part AS row_id, id, seq, src, text, {WORDS} AS ws FROM clauses), v AS (SELECT w.*, version, k FROM w, (VALUES ('dataset', 11), ('base', 5), ('step', 7)) t(version, k)), s AS (SELECT *, len(list_filter(range(1, len(ws) + 1), lambda i: (i + id) % k = 0))::BIGINT AS wrong FROM v WHERE len(ws) > 0)"
+BASE = f"{LINES}, clauses AS (SELECT id, src, seq, parts[part + 1] AS text, part FROM (SELECT id, src, seq, parts, unnest(range(0, len(parts))) AS part FROM (SELECT id, src, seq, string_split_regex(text, '[.!?,]+') AS parts FROM lines))), w AS (SELECT {{'id': id, 'seq': seq, 'part': part}} AS row_id, id, seq, part, src, text, {WORDS} AS ws FROM clauses), v AS (SELECT w.*, version, k FROM w, (VALUES ('dataset', 11), ('base', 5), ('step', 7)) t(version, k)), s AS (SELECT *, len(list_filter(range(1, len(ws) + 1), lambda i: (i + id) % k = 0))::BIGINT AS wrong FROM v WHERE len(ws) > 0)"
 
 
-def transcripts(spark, sf, *versions, exact=False):
-    """row_id, version, text, hyp in long form, by clause; texts are cut to plain letters first. The number row_id repeats past
-    999 lines or 9,999 clauses; exact gives (id, seq, part), which does not, in the same order."""
-    row_id = F.struct("id", "seq", "part") if exact else (F.col("id") * 1000 + F.col("seq")) * 10000 + F.col("part")
+def transcripts(spark, sf, *versions):
+    """row_id (id, seq, part), version, text, hyp in long form, by clause; texts are cut to plain letters first."""
     rows = lines(spark, sf).select("id", "src", "seq", F.posexplode(F.split("text", "[.!?,]+")).alias("part", "text"))
-    rows = rows.select(row_id.alias("row_id"), "id", "src", F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), r"[^a-z\s]", " "), r"\s+", " ")).alias("text")).where("text <> ''")
+    rows = rows.select(F.struct("id", "seq", "part").alias("row_id"), "id", "src", F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), r"[^a-z\s]", " "), r"\s+", " ")).alias("text")).where("text <> ''")
     wide = rows.select("row_id", "id", "src", "text", *(_spoiled(k).alias(v) for v, k in PLANTED.items() if not versions or v in versions))
     return wide.unpivot(["row_id", "id", "src", "text"], [v for v in PLANTED if not versions or v in versions], "version", "hyp")
 
@@ -36,25 +34,35 @@ def ea1_edit_distance(spark, sf):
     return words.select("w", F.levenshtein("w", F.regexp_replace("w", "e", "")).alias("d"))
 
 
-@query("ea2_word_distance", f"WITH {BASE} SELECT row_id, version, wrong::INT AS wrong FROM s")
+@query("ea2_word_distance", f"WITH {BASE} SELECT id, seq, part::INT AS part, version, wrong::INT AS wrong FROM s")
 def ea2_word_distance(spark, sf):
-    return transcripts(spark, sf).select("row_id", "version", A.word_distance(F.split("text", " "), F.split("hyp", " ")).alias("wrong"))
+    return transcripts(spark, sf).select("row_id.*", "version", A.word_distance(F.split("text", " "), F.split("hyp", " ")).alias("wrong"))
 
 
-@query("ea3_cer", f"WITH {BASE} SELECT row_id, version, round(list_sum(list_transform(list_filter(range(1, len(ws) + 1), lambda i: (i + id) % k = 0), lambda i: length(ws[i]))) / length(array_to_string(ws, ''))::DOUBLE, 6) AS cer FROM s WHERE wrong > 0")
+#: Letters of the words that were replaced.
+WRONG_LETTERS = "coalesce(list_sum(list_transform(list_filter(range(1, len(ws) + 1), lambda i: (i + id) % k = 0), lambda i: length(ws[i]))), 0)"
+
+
+@query("ea3_cer", f"WITH {BASE} SELECT id, seq, part::INT AS part, version, round({WRONG_LETTERS} / length(array_to_string(ws, ''))::DOUBLE, 6) AS cer FROM s")
 def ea3_cer(spark, sf):
-    return transcripts(spark, sf).where("text <> hyp").select("row_id", "version", F.round(A.cer("text", "hyp"), 6).alias("cer"))
+    """The error rate of every row, 0 where nothing is wrong."""
+    return transcripts(spark, sf).select("row_id.*", "version", F.round(A.cer("text", "hyp"), 6).alias("cer"))
 
 
-@query("ea4_corpus_score", f"WITH {BASE} SELECT version, count(*)::BIGINT AS clips, round(sum(wrong) / sum(len(ws))::DOUBLE, 6) AS wer, count(*) FILTER (WHERE wrong / len(ws)::DOUBLE > 0.5)::BIGINT AS broken FROM s GROUP BY version")
+@query("ea4_corpus_score", f"WITH {BASE} SELECT version, count(*)::BIGINT AS clips, round(sum(wrong) / sum(len(ws))::DOUBLE, 6) AS wer, round(sum({WRONG_LETTERS}) / sum(length(array_to_string(ws, '')))::DOUBLE, 6) AS cer, count(*) FILTER (WHERE wrong / len(ws)::DOUBLE > 0.5)::BIGINT AS broken FROM s GROUP BY version")
 def ea4_corpus_score(spark, sf):
-    return A.corpus_score(A.scored(transcripts(spark, sf)), "version").drop("cer")
+    return A.corpus_score(A.scored(transcripts(spark, sf)), "version")
 
 
-query("ea5_operations")(lambda spark, sf: A.operations(transcripts(spark, sf, "step", "dataset")))
 OPS_SQL = "o AS (SELECT row_id, version, k, id, i, n, w, (i + id) % k = 0 AS bad FROM (SELECT row_id, version, k, id, len(ws) AS n, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM s))"
 
 
+@query("ea5_operations", f"WITH {BASE}, {OPS_SQL} SELECT row_id.id AS id, row_id.seq AS seq, row_id.part::INT AS part, version, (i - 1)::INT AS pos, CASE WHEN bad THEN 'sub' ELSE 'ok' END AS op, w AS ref, CASE WHEN bad THEN regexp_replace(w, '.', '0', 'g') ELSE w END AS hyp FROM o WHERE version IN ('step', 'dataset')")
+def ea5_operations(spark, sf):
+    """The alignment of every clause; a replaced word is in no text, so that it can only be substituted."""
+    return A.operations(transcripts(spark, sf, "step", "dataset")).select("row_id.*", "version", "pos", "op", "ref", "hyp")
+
+
 @query("ea6_letter_errors", f"WITH {BASE}, {OPS_SQL}, l AS (SELECT version, bad, unnest(string_split(w, '')) AS ref FROM o WHERE version IN ('step', 'dataset')), g AS (SELECT ref, count(*) FILTER (WHERE version = 'step') AS n, avg(bad::INT) FILTER (WHERE version = 'step') AS a, avg(bad::INT) FILTER (WHERE version = 'dataset') AS b FROM l GROUP BY ref) SELECT ref, n::BIGINT AS n, round(a, 6) AS rate, round(a - b, 6) AS excess FROM g WHERE n >= 30")
 def ea6_letter_errors(spark, sf):
     return A.letter_errors(A.operations(transcripts(spark, sf, "step", "dataset"), letters=True), "step", "dataset")
@@ -65,14 +73,14 @@ def ea7_confusions(spark, sf):
     return A.confusions(A.operations(transcripts(spark, sf, "step"), letters=True), 15)
 
 
-@query("ea8_model_only", f"WITH {BASE}, {OPS_SQL}, r AS (SELECT DISTINCT row_id, w FROM o WHERE version = 'dataset' AND NOT bad), m AS (SELECT o.w AS ref, count(*)::BIGINT AS n, min_by(regexp_replace(o.w, '.', '0', 'g'), row_id * 100000 + i) AS heard_as FROM o JOIN r USING (row_id, w) WHERE o.version = 'step' AND bad GROUP BY 1) SELECT * FROM m ORDER BY n DESC, ref LIMIT 40")
+@query("ea8_model_only", f"WITH {BASE}, {OPS_SQL}, r AS (SELECT DISTINCT row_id, w FROM o WHERE version = 'dataset' AND NOT bad), m AS (SELECT o.w AS ref, count(*)::BIGINT AS n, min_by(regexp_replace(o.w, '.', '0', 'g'), {{'r': row_id, 'i': i}}) AS heard_as FROM o JOIN r USING (row_id, w) WHERE o.version = 'step' AND bad GROUP BY 1) SELECT * FROM m ORDER BY n DESC, ref LIMIT 40")
 def ea8_model_only(spark, sf):
-    return A.model_only(A.operations(transcripts(spark, sf, "step", "dataset", exact=True)), "step", "dataset")
+    return A.model_only(A.operations(transcripts(spark, sf, "step", "dataset")), "step", "dataset")
 
 
 @query("ea9_position_errors", f"WITH {BASE}, {OPS_SQL} SELECT version, CASE WHEN i = 1 THEN 'first' WHEN i = n THEN 'last' ELSE 'middle' END AS place, round(avg(bad::INT), 6) AS rate, count(*)::BIGINT AS n FROM o WHERE version IN ('step', 'base') GROUP BY 1, 2")
 def ea9_position_errors(spark, sf):
-    return A.position_errors(A.operations(transcripts(spark, sf, "step", "base", exact=True)))
+    return A.position_errors(A.operations(transcripts(spark, sf, "step", "base")))
 
 
 @query("ea10_breakdown", f"WITH {BASE} SELECT version, CASE WHEN len(ws) <= 5 THEN '1-5' WHEN len(ws) <= 10 THEN '6-10' WHEN len(ws) <= 15 THEN '11-15' ELSE '16+' END AS bin, count(*)::BIGINT AS clips, round(sum(wrong) / sum(len(ws))::DOUBLE, 6) AS wer FROM s GROUP BY ALL")
@@ -80,10 +88,17 @@ def ea10_breakdown(spark, sf):
     return A.corpus_score(A.scored(transcripts(spark, sf).withColumn("bin", T.length_bin("text"))), "version", "bin").select("version", "bin", "clips", "wer")
 
 
-@query("ea11_experiment_grid")
+GRID_SQL = f"""WITH {BASE}, {OPS_SQL}, l AS (SELECT version, bad, unnest(string_split(w, '')) AS ref FROM o),
+a AS (SELECT version, round(sum(wrong) / sum(len(ws))::DOUBLE, 6) AS wer, round(sum(wrong) FILTER (WHERE len(ws) <= 5) / (sum(len(ws)) FILTER (WHERE len(ws) <= 5))::DOUBLE, 6) AS wer_short FROM s GROUP BY version),
+p AS (SELECT version, round(avg(bad::INT) FILTER (WHERE i = 1), 6) AS first, round(avg(bad::INT) FILTER (WHERE i > 1 AND i < n), 6) AS middle, round(avg(bad::INT) FILTER (WHERE i > 1 AND i = n), 6) AS last FROM o GROUP BY version),
+q AS (SELECT version, round(avg(bad::INT) FILTER (WHERE ref = 'e'), 6) AS e, round(avg(bad::INT) FILTER (WHERE ref = 'n'), 6) AS n FROM l GROUP BY version)
+SELECT * FROM a JOIN p USING (version) JOIN q USING (version)"""
+
+
+@query("ea11_experiment_grid", GRID_SQL)
 def ea11_experiment_grid(spark, sf):
     """One row a variant: WER of all and of short rows, error rates by place, and of two letters."""
-    rows = transcripts(spark, sf, exact=True)
+    rows = transcripts(spark, sf)
     marked = A.scored(rows.withColumn("short", T.word_count("text") <= 5))
     wer = marked.groupBy("version").agg(F.round(F.sum("wrong") / F.sum("words"), 6).alias("wer"), F.round(F.sum(F.when(F.col("short"), F.col("wrong"))) / F.sum(F.when(F.col("short"), F.col("words"))), 6).alias("wer_short"))
     places = A.position_errors(A.operations(rows)).groupBy("version").pivot("place", ["first", "middle", "last"]).agg(F.first("rate"))
@@ -91,14 +106,17 @@ def ea11_experiment_grid(spark, sf):
     return wer.join(places, "version").join(letters, "version")
 
 
-@query("ea12_against_normalised")
+@query("ea12_against_normalised", f"WITH {BASE} SELECT id, seq, part::INT AS part, CASE WHEN (id + seq + part) % 10 <> 0 THEN round(CASE WHEN (id + seq + part) % 3 = 0 THEN 1 + wrong - ((1 + id) % k = 0)::INT ELSE wrong END / len(ws)::DOUBLE, 6) END AS wer FROM s WHERE version = 'step'")
 def ea12_against_normalised(spark, sf):
-    rows = transcripts(spark, sf, "step").withColumn("normalised", F.when(F.col("row_id") % 3 == 0, F.col("text"))).withColumn("hyp", F.when(F.col("row_id") % 10 != 0, F.col("hyp")))
+    """Against the normalised text, whose first word differs, where there is one; a failed hypothesis keeps its row."""
+    number = F.col("row_id.id") + F.col("row_id.seq") + F.col("row_id.part")
+    other = F.when(number % 3 == 0, F.regexp_replace("text", "^[a-z]+", "1"))
+    rows = transcripts(spark, sf, "step").withColumn("normalised", other).withColumn("hyp", F.when(number % 10 != 0, F.col("hyp")))
     ref = T.scoring_words(F.coalesce("normalised", "text"))
-    return rows.select("row_id", F.round(A.word_distance(ref, T.scoring_words("hyp")) / F.greatest(F.size(ref), F.lit(1)), 6).alias("wer"))
+    return rows.select("row_id.*", F.round(A.word_distance(ref, T.scoring_words("hyp")) / F.greatest(F.size(ref), F.lit(1)), 6).alias("wer"))
 
 
-@query("ea13_long_texts")
+@query("ea13_long_texts", r"WITH w AS (SELECT conv_id, list_filter(string_split_regex(regexp_replace(lower(translate(string_agg(text, ' ' ORDER BY turn), 'Iİ', 'ıi')), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+'), lambda x: x <> '') AS ws FROM conversations GROUP BY conv_id) SELECT conv_id, len(ws)::INT AS words, round(len(list_filter(range(0, len(ws)), lambda i: i % 9 = 4 AND ws[i + 1] <> '0')) / greatest(len(ws), 1)::DOUBLE, 6) AS wer FROM w")
 def ea13_long_texts(spark, sf):
     turns = table(spark, sf, "conversations")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), " ")
@@ -114,4 +132,4 @@ def ea14_changed_runs(spark, sf):
     return rows.where("text <> after").select("id", "seq", A.changed_runs("text", "after").alias("runs"))
 
 
-query("ud4_alignment_function")(lambda spark, sf: transcripts(spark, sf, "step").where("text <> hyp").select("row_id", F.posexplode(A.align(T.scoring_words("text"), T.scoring_words("hyp"))).alias("at", "step")).select("row_id", "at", "step.op"))
+query("ud4_alignment_function", f"WITH {BASE}, {OPS_SQL}, c AS (SELECT row_id FROM s WHERE version = 'step' AND wrong > 0) SELECT row_id.id AS id, row_id.seq AS seq, row_id.part::INT AS part, (i - 1)::INT AS at, CASE WHEN bad THEN 'sub' ELSE 'ok' END AS op FROM o JOIN c USING (row_id) WHERE version = 'step'")(lambda spark, sf: transcripts(spark, sf, "step").where("text <> hyp").select("row_id.*", F.posexplode(A.align(T.scoring_words("text"), T.scoring_words("hyp"))).alias("at", "step")).select("id", "seq", "part", "at", "step.op"))

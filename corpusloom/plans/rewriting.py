@@ -49,7 +49,23 @@ def tx3_foreign_words(spark, sf):
 
 
 query("tx5_thousands")(lambda spark, sf: docs(spark, sf).select("doc_id", R.thousands("text").alias("text")))
-query("tx9_operators", r"SELECT doc_id, regexp_replace(text, '(\d)\s*[xX×]\s*(\d)', '\1 vurulsun \2', 'g') AS text FROM documents WHERE NOT contains(text, ':')")(lambda spark, sf: docs(spark, sf).select("doc_id", R.operators("text").alias("text")))
+#: Without look-around a digit between two signs is taken twice: in a first and a second pass.
+_OPERATORS = "text"
+for _pattern, _said in ((r"(\d):(\d)", r"\1 \2"), (r"(\d)\s?[xх×]\s?(\d)", r"\1 vurulsun \2")):
+    for _ in range(2):
+        _OPERATORS = f"regexp_replace({_OPERATORS}, '{_pattern}', '{_said}', 'g')"
+query("tx9_operators", f"SELECT doc_id, {_OPERATORS} AS text FROM documents")(lambda spark, sf: docs(spark, sf).select("doc_id", R.operators("text").alias("text")))
+#: Every number of a text beside the next one, joined by the signs in turn: what the corpus itself has few of.
+_SIGNED = "regexp_replace(regexp_replace(regexp_replace(text, '([a-z]) ([a-z])', '\\1 1:2x3 \\2', 'g'), '([a-z]), ([a-z])', '\\1 4x5х6×7 \\2', 'g'), 'e', '8', 'g')"
+
+
+@query("tx9_signed", f"WITH documents AS (SELECT doc_id, {_SIGNED} AS text FROM documents) SELECT doc_id, {_OPERATORS} AS text FROM documents")
+def tx9_signed(spark, sf):
+    """Scores and chained products between the words of every text."""
+    c = F.regexp_replace(F.regexp_replace("text", "([a-z]) ([a-z])", "$1 1:2x3 $2"), "([a-z]), ([a-z])", "$1 4x5х6×7 $2")
+    return docs(spark, sf).select("doc_id", R.operators(F.regexp_replace(c, "e", "8")).alias("text"))
+
+
 _sym = "text"
 for _a, _b in R.SYMBOLS.items():
     _sym = f"replace({_sym}, '{_a}', '{_b}')"
