@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.operators.mining import numbered_overall
@@ -36,15 +35,13 @@ def frame_budget_batches(rows: DataFrame, frames: str, max_batch: int, budget: i
 
 
 def length_class_batches(rows: DataFrame, length: str, classes: list[tuple[int, int]], key: str = "id") -> DataFrame:
-    """Fixed-size batches by length class (upper length, batch size), sorted by length inside; a class's last batch is short."""
+    """Fixed-size batches by length class (upper length, batch size), in the order of length and key; only the last batch of a
+    class is short. Ranges of length are numbered apart and offset by the ranges before them, so no class is one task's sort."""
     size, name = F.lit(classes[-1][1]), F.lit(len(classes) - 1)
     for i, (most, n) in reversed(list(enumerate(classes[:-1]))):
         size, name = F.when(F.col(length) <= most, n).otherwise(size), F.when(F.col(length) <= most, i).otherwise(name)
     marked = rows.withColumn("class", name).withColumn("_size", size)
-    # ranges of length inside a class are numbered apart, so that a class is never one sort
-    part = marked.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(64)))
-    order = W.partitionBy("class", "_slice").orderBy(length, key)
-    return part.withColumn("batch", F.floor((F.row_number().over(order) - 1) / F.col("_size"))).drop("_size")
+    return numbered_overall(marked, [length, key], "class").withColumn("batch", F.floor((F.col("number") - 1) / F.col("_size"))).drop("_size", "number")
 
 
 def padding_waste(batches: DataFrame, frames: str, *by: str) -> DataFrame:

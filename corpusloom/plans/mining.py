@@ -117,12 +117,13 @@ def dd3_duplicate_of(spark, sf):
     return M.duplicate_of(keyed(spark, sf)).select("id", "seq", F.concat_ws(":", "holder.src", "holder.id", "holder.seq").alias("holder"), "is_first")
 
 
-@query("dd4_exact_text", "SELECT CASE WHEN rn = 1 THEN 'kept' ELSE 'dropped' END AS part, count(*)::BIGINT AS n, list_sort(list(doc_id) FILTER (WHERE rn > 1)) AS dropped_ids FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) GROUP BY 1")
+@query("dd4_exact_text", "WITH r AS (SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1 THEN 'kept' ELSE 'dropped' END AS part FROM documents), n AS (SELECT part, count(*)::BIGINT AS n FROM r GROUP BY part) SELECT part, n, doc_id AS dropped_id FROM n LEFT JOIN r USING (part) WHERE part = 'dropped' UNION ALL SELECT part, n, NULL FROM n WHERE part = 'kept'")
 def dd4_exact_text(spark, sf):
+    """How many stay and how many go, with a row for each id that goes."""
     docs = table(spark, sf, "documents").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("k"))
-    marked = M.duplicate_of(docs, "k", ("doc_id",))
-    ids = F.sort_array(F.collect_list(F.when(~F.col("is_first"), F.col("doc_id"))))
-    return marked.groupBy(F.when(F.col("is_first"), "kept").otherwise("dropped").alias("part")).agg(F.count("*").alias("n"), F.when(F.size(ids) > 0, ids).alias("dropped_ids"))
+    marked = M.duplicate_of(docs, "k", ("doc_id",)).select("doc_id", F.when(F.col("is_first"), "kept").otherwise("dropped").alias("part"))
+    gone = marked.where("part = 'dropped'").select("part", F.col("doc_id").alias("dropped_id"))
+    return marked.groupBy("part").agg(F.count("*").alias("n")).join(gone, "part", "left")
 
 
 @query("dd5_merge_reasons", f"WITH {LINES}, {KEYED}, {BENCH}, r AS (SELECT *, CASE WHEN NOT ({LOOSE}) THEN 'checker' WHEN k IN (SELECT k FROM known) THEN 'known' END AS reason0 FROM keyed), d AS (SELECT *, CASE WHEN reason0 IS NULL AND row_number() OVER (PARTITION BY k, reason0 IS NULL ORDER BY src, id, seq) > 1 THEN 'duplicate' ELSE reason0 END AS reason FROM r) SELECT coalesce(reason, 'kept') AS reason, count(*)::BIGINT AS n FROM d GROUP BY 1")
@@ -235,6 +236,8 @@ def jn10_text_lookup(spark, sf):
 @query("jn12_longest_stem", f"WITH v AS {VOCAB}, words AS (SELECT w FROM v WHERE n >= 2), stems AS (SELECT w AS stem FROM v WHERE n >= 20 AND length(w) >= 2), cuts AS (SELECT w, unnest(range(2, length(w) + 1)) AS cut FROM words) SELECT w, max_by(stem, length(stem)) AS stem FROM cuts JOIN stems ON left(w, cut) = stem GROUP BY w")
 def jn12_longest_stem(spark, sf):
     words = word_counts(spark, sf)
-    cuts = words.where("n >= 2 and length(w) >= 2").select("w", F.explode(F.sequence(F.lit(2), F.char_length("w"))).alias("cut")).withColumn("stem", F.expr("left(w, cut)"))
     stems = words.where("n >= 20 and length(w) >= 2").select(F.col("w").alias("stem"))
+    sizes = stems.agg(F.collect_set(F.char_length("stem")).alias("sizes"))  # one row; only beginnings as long as some stem are made
+    fit = F.filter("sizes", lambda n: n <= F.char_length("w"))
+    cuts = words.where("n >= 2").crossJoin(sizes).select("w", F.explode(fit).alias("cut")).withColumn("stem", F.expr("left(w, cut)"))
     return cuts.join(stems, "stem").groupBy("w").agg(F.max_by("stem", "cut").alias("stem"))

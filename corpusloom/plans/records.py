@@ -162,7 +162,7 @@ def batches(spark, sf):
 
 query("bt1_frame_budget")(lambda spark, sf: batches(spark, sf))
 query("bt1_invariants", f"SELECT count(*)::BIGINT AS rows, true AS within FROM documents")(lambda spark, sf: batches(spark, sf).groupBy("pool", "batch").agg(F.count("*").alias("n"), F.max("frames").alias("most")).agg(F.sum("n").alias("rows"), F.bool_and((F.col("n") <= MOST) & (F.col("n") * F.col("most") <= BUDGET)).alias("within")))
-query("bt2_length_classes")(lambda spark, sf: B.length_class_batches(docs(spark, sf).select("doc_id", "n_chars"), "n_chars", [(1000, 24), (4000, 12), (1 << 40, 6)], "doc_id"))
+query("bt2_length_classes", "WITH c AS (SELECT doc_id, n_chars, CASE WHEN n_chars <= 1000 THEN 0 WHEN n_chars <= 4000 THEN 1 ELSE 2 END AS class FROM documents) SELECT *, (row_number() OVER (PARTITION BY class ORDER BY n_chars, doc_id) - 1) // CASE class WHEN 0 THEN 24 WHEN 1 THEN 12 ELSE 6 END AS batch FROM c")(lambda spark, sf: B.length_class_batches(docs(spark, sf).select("doc_id", "n_chars"), "n_chars", [(1000, 24), (4000, 12), (1 << 40, 6)], "doc_id"))
 query("bt3_padding_waste")(lambda spark, sf: B.padding_waste(batches(spark, sf), "frames", "pool", "batch"))
 
 # spectra
@@ -244,7 +244,9 @@ def st3_resumed(spark, sf):
     return M.resumed(attempts(spark, sf), limits).select("step", "attempt", "loss")
 
 
-query("st4_status", f"WITH {RUNS}, l AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS back FROM m), g AS (SELECT run, wall_time - lag(wall_time) OVER (PARTITION BY run ORDER BY step) AS gap FROM l WHERE back <= 200), t AS (SELECT run, round(median(gap), 4) AS seconds_per_step FROM g WHERE gap > 0 GROUP BY run) SELECT run, max(step) AS step, max_by(stage, step) AS stage, round(avg(loss) FILTER (WHERE back <= 50), 4) AS latest_loss, max(seconds_per_step) AS seconds_per_step FROM l JOIN t USING (run) GROUP BY run")(lambda spark, sf: M.status(followed(spark, sf), 1_000_000, 0.4).select("run", "step", "stage", "latest_loss", "seconds_per_step"))
+@query("st4_status", f"WITH {RUNS}, l AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS back FROM m), g AS (SELECT run, wall_time - lag(wall_time) OVER (PARTITION BY run ORDER BY step) AS gap FROM l WHERE back <= 200), t AS (SELECT run, round(median(gap), 4) AS seconds_per_step FROM g WHERE gap > 0 GROUP BY run), o AS (SELECT run, max(step) AS step, max_by(stage, step) AS stage, max_by(epoch, step) AS epoch, max_by(wall_time, step) - min_by(wall_time, step) AS elapsed, round(avg(loss) FILTER (WHERE back <= 50), 4) AS latest_loss FROM l GROUP BY run) SELECT run, step, stage, epoch, round(100 * step / 1000000, 2) AS percent, seconds_per_step, round((1000000 - step) * seconds_per_step) AS eta_seconds, round(elapsed / 3600 * 0.4, 3) AS cost, latest_loss FROM o LEFT JOIN t USING (run)")
+def st4_status(spark, sf):
+    return M.status(followed(spark, sf), 1_000_000, 0.4)
 
 
 @query("st5_history", f"WITH {RUNS}, n AS (SELECT *, (row_number() OVER (PARTITION BY run ORDER BY step) - 1) // greatest(1, ceil(count(*) OVER (PARTITION BY run) / 20.0)::BIGINT) AS bucket FROM m WHERE step >= 1000) SELECT run, bucket::BIGINT AS bucket, max(step) AS step, round(avg(loss), 4) AS loss FROM n GROUP BY run, bucket")
@@ -274,7 +276,7 @@ def st7_score_arriving(spark, sf):
     return spark.read.schema("doc_id long, score long").parquet(out)
 
 
-query("st8_listings", "WITH s AS (SELECT DISTINCT n_chars AS step FROM documents ORDER BY 1 DESC LIMIT 10) SELECT step, list(doc_id ORDER BY doc_id) AS clips FROM s JOIN documents ON n_chars = step GROUP BY step")(lambda spark, sf: M.listings_at_steps(docs(spark, sf).select(F.col("n_chars").alias("step")), docs(spark, sf).select(F.col("n_chars").alias("step"), F.col("doc_id").alias("clip")), 10))
+query("st8_listings", "WITH s AS (SELECT DISTINCT n_chars AS step FROM documents ORDER BY 1 DESC LIMIT 10) SELECT step, doc_id AS clip FROM s JOIN documents ON n_chars = step")(lambda spark, sf: M.listings_at_steps(docs(spark, sf).select(F.col("n_chars").alias("step")), docs(spark, sf).select(F.col("n_chars").alias("step"), F.col("doc_id").alias("clip")), 10))
 
 
 class PlainFrontend:
@@ -302,4 +304,4 @@ def _halves(text):
     return {"n": len(text), "half": text[: len(text) // 2].count(" ")}
 
 
-query("ud2_measured", "SELECT doc_id, CASE WHEN length(text) >= 300 THEN length(text) END::BIGINT AS n, CASE WHEN length(text) < 300 THEN 'ValueError: short' END AS error FROM documents")(lambda spark, sf: FR.measured(docs(spark, sf), "doc_id", "text", _halves, "n long, half long").select("doc_id", "n", "error"))
+query("ud2_measured", "SELECT doc_id, CASE WHEN length(text) >= 300 THEN length(text) END::BIGINT AS n, CASE WHEN length(text) >= 300 THEN length(left(text, length(text) // 2)) - length(replace(left(text, length(text) // 2), ' ', '')) END::BIGINT AS half, CASE WHEN length(text) < 300 THEN 'ValueError: short' END AS error FROM documents")(lambda spark, sf: FR.measured(docs(spark, sf), "doc_id", "text", _halves, "n long, half long").select("doc_id", "n", "half", "error"))

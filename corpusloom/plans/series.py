@@ -193,11 +193,15 @@ def io11_ragged_offsets(spark, sf):
 
     rows = numbered_overall(clips(spark, sf).select("vec_id", "v"), ["vec_id"])
     size = F.size("v")
-    # offsets as running sums: sums by range of numbers, then inside the range
-    part = rows.withColumn("range", F.floor((F.col("number") - 1) / 4096))
-    before = part.groupBy("range").agg(F.sum(size).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("range", "before")
-    inside = F.sum(size).over(Window.partitionBy("range").orderBy("number"))
-    return part.withColumn("inside", inside).join(before, "range").select("vec_id", (F.col("before") + F.col("inside") - size).alias("start"), size.alias("n"), F.transform(F.slice("v", 3, 5), lambda x: F.round(x, 6)).alias("part"))
+    # offsets as running sums on three levels: inside a range of rows, over the ranges of a group, over the groups
+    part = rows.withColumns({"range": F.floor((F.col("number") - 1) / 4096), "group": F.floor((F.col("number") - 1) / 4096**2)})
+    so_far = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = part.groupBy("group", "range").agg(F.sum(size).alias("n"))
+    groups = ranges.groupBy("group").agg(F.sum("n").alias("n")).select("group", so_far(Window.orderBy("group")).alias("groups_before"))
+    before = ranges.withColumn("ranges_before", so_far(Window.partitionBy("group").orderBy("range"))).drop("n").join(groups, "group")
+    inside = F.sum(size).over(Window.partitionBy("group", "range").orderBy("number"))
+    start = F.col("groups_before") + F.col("ranges_before") + F.col("inside") - size
+    return part.withColumn("inside", inside).join(before, ["group", "range"]).select("vec_id", start.alias("start"), size.alias("n"), F.transform(F.slice("v", 3, 5), lambda x: F.round(x, 6)).alias("part"))
 
 
 query("jn4_track_lookup", "SELECT e.label, count(*)::BIGINT AS clips, count(*) FILTER (WHERE t.vec_id IS NULL)::BIGINT AS missing, list_sort(list(e.vec_id) FILTER (WHERE t.vec_id IS NULL))[1:3] AS examples FROM embeddings e LEFT JOIN (SELECT vec_id FROM embeddings WHERE label <> 3 OR vec_id % 2 = 0) t USING (vec_id) GROUP BY e.label")(lambda spark, sf: track_lookup(spark, sf))
@@ -206,7 +210,8 @@ query("jn4_track_lookup", "SELECT e.label, count(*)::BIGINT AS clips, count(*) F
 def track_lookup(spark, sf):
     rows = clips(spark, sf).select("vec_id", "label")
     tracks = rows.where("label <> 3 or vec_id % 2 = 0").select("vec_id", F.lit(True).alias("found"))
-    by = rows.join(tracks, "vec_id", "left").withColumn("rank", F.row_number().over(Window.partitionBy("label", F.col("found").isNull()).orderBy("vec_id")))
-    lost = F.col("found").isNull()
-    out = by.groupBy("label").agg(F.count("*").alias("clips"), F.count_if(lost).alias("missing"), F.sort_array(F.collect_list(F.when(lost & (F.col("rank") <= 3), F.col("vec_id")))).alias("examples"))
-    return out.withColumn("examples", F.when(F.size("examples") > 0, F.col("examples")))
+    joined = rows.join(tracks, "vec_id", "left")
+    counts = joined.groupBy("label").agg(F.count("*").alias("clips"), F.count_if(F.col("found").isNull()).alias("missing"))
+    # ranks above three are cut before the labels meet
+    first = joined.where("found IS NULL").withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("rank <= 3")
+    return counts.join(first.groupBy("label").agg(F.sort_array(F.collect_list("vec_id")).alias("examples")), "label", "left")

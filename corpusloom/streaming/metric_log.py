@@ -61,6 +61,6 @@ def score_arriving(takes: DataFrame, score, table_path: str, checkpoint: str):
 
 
 def listings_at_steps(steps: DataFrame, files: DataFrame, n: int) -> DataFrame:
-    """The newest n steps with the clips listed for them, before and target."""
+    """(step, clip): the newest n steps with the clips listed for them, one row each; a step without clips has one with NULL."""
     newest = steps.select("step").distinct().orderBy(F.desc("step")).limit(n)
-    return newest.join(files, "step", "left").groupBy("step").agg(F.sort_array(F.collect_list("clip")).alias("clips"))
+    return newest.join(files.select("step", "clip"), "step", "left")
