@@ -114,7 +114,7 @@ def _nearest(rows: DataFrame, key: str, n: int) -> DataFrame:
 def random_rest(chosen: DataFrame, taken: DataFrame, n: int = 25, seed: int = 0) -> DataFrame:
     """n of the others by a seeded hash, by category."""
     rest = chosen.where("take is not null").join(taken.select("id", "cat"), ["id", "cat"], "left_anti")
-    return _nearest(rest.withColumn("draw", F.xxhash64("id", F.lit(seed))), "draw", n).drop("draw")
+    return _nearest(rest.withColumn("draw", F.md5(F.concat_ws(":", F.lit(seed), F.col("id").cast("string")))), "draw", n).drop("draw")
 
 
 def category_summary(chosen: DataFrame) -> DataFrame:

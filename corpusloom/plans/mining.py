@@ -210,9 +210,9 @@ def wn5_every_kth(spark, sf):
     return M.numbered_overall(table(spark, sf, "documents").select("doc_id", "source"), ["source", "doc_id"]).where("number % 7 = 0").select("doc_id")
 
 
-@query("wn6_fixed_sample")
+@query("wn6_fixed_sample", "SELECT doc_id, n_chars FROM documents ORDER BY md5('0:' || doc_id), doc_id LIMIT 150")
 def wn6_fixed_sample(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "n_chars").orderBy(F.xxhash64("doc_id", F.lit(0))).limit(150)
+    return table(spark, sf, "documents").select("doc_id", "n_chars").orderBy(F.md5(F.concat_ws(":", F.lit(0), "doc_id")), "doc_id").limit(150)
 
 
 @query("wn18_ordering", "SELECT source, doc_id, n_chars FROM documents ORDER BY source, n_chars DESC, doc_id")

@@ -15,6 +15,7 @@ from corpusloom.operators import batching as B
 from corpusloom.operators import spectra as P
 from corpusloom.operators.storage import kept
 from corpusloom.plans.base import lines, table, with_lines
+from corpusloom.sources import files as W
 from corpusloom.sources import jsonl as J
 from corpusloom.streaming import metric_log as M
 from corpusloom.streaming import restarts as R
@@ -34,21 +35,21 @@ def docs(spark, sf):
 def io1_corpus_scan(spark, sf):
     """Documents written as JSON lines by source, and scanned back with blanks squeezed."""
     path = folder(spark)
-    docs(spark, sf).select("source", "text").write.partitionBy("source").json(path)
-    rows = spark.read.schema("text string, source string").json(path).select("source", T.squeezed("text").alias("text")).where("text <> ''")
-    return rows.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars"))
+    J.write_by_category(docs(spark, sf).select("source", "text"), path, "source")
+    rows = J.read_corpus(spark, path, "source=([^/]*)/")
+    return rows.groupBy(F.col("src").alias("source")).agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars"))
 
 
 def authored(spark, sf):
     """Lines as JSON lines, of which some are broken and some lack a key."""
-    rows = lines(spark, sf).withColumn("k", F.pmod(F.xxhash64("id", "seq"), F.lit(20)))
+    rows = lines(spark, sf).withColumn("k", (F.col("id") + F.col("seq")) % 20)
     made = F.when(F.col("k") == 0, F.concat(F.lit('{"cat": "A", "text": '), F.lit("broken"))).when(F.col("k") == 1, F.to_json(F.struct("text"))).otherwise(F.to_json(F.struct(F.col("src").alias("cat"), "text")))
     path = folder(spark)
     rows.select(made.alias("value")).write.text(path)
     return J.read_sentences(spark, path)
 
 
-query("io2_tolerant_json")(lambda spark, sf: J.with_issue(authored(spark, sf)).groupBy("issue").agg(F.count("*").alias("n")))
+query("io2_tolerant_json", with_lines("SELECT CASE (id + seq) % 20 WHEN 0 THEN 'bad json' WHEN 1 THEN 'missing key' END AS issue, count(*)::BIGINT AS n FROM lines GROUP BY 1"))(lambda spark, sf: J.with_issue(authored(spark, sf)).groupBy("issue").agg(F.count("*").alias("n")))
 query("io3_required_keys", "SELECT doc_id, CASE WHEN lang IS NULL OR nullif(source, 'src3') IS NULL THEN 'missing key' END AS issue FROM documents")(lambda spark, sf: J.with_issue(docs(spark, sf).select("doc_id", F.nullif("source", F.lit("src3")).alias("cat"), F.col("lang").alias("text"), F.lit(None).cast("string").alias("_corrupt"))).select("doc_id", "issue"))
 query("io4_id_list", "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")(lambda spark, sf: J.restricted(docs(spark, sf), table(spark, sf, "labels").where("quality = 1"), "doc_id").select("doc_id", "source"))
 
@@ -66,31 +67,15 @@ URL = r"^https?://([^/]+)/([a-z]{2})/(\d+)$"
 query("io7_listing", r"SELECT url, regexp_extract(url, '^https?://([^/]+)/([a-z]{2})/(\d+)$', 1) AS host, regexp_extract(url, '^https?://([^/]+)/([a-z]{2})/(\d+)$', 3) AS number FROM pages WHERE NOT regexp_matches(url, '\.part(ial)?$') AND regexp_matches(url, '^https?://([^/]+)/([a-z]{2})/(\d+)$')")(lambda spark, sf: J.listing(table(spark, sf, "pages").select("url"), URL, {"host": 1, "number": 3}, column="url")[0])
 
 
-@query("io8_clips")
+@query("io8_clips", "SELECT vec_id, len(embedding)::INT AS n, round(list_max(list_transform(embedding, lambda x: abs(trunc(greatest(least(x, 1::FLOAT), (-1)::FLOAT) * 32767::FLOAT))))::DOUBLE / 32768, 6) AS peak, NULL::VARCHAR AS error FROM embeddings")
 def io8_clips(spark, sf):
-    """Clips made of embeddings as PCM16 WAV bytes, and decoded again."""
-    import io
-    import wave
-
-    import numpy as np
-    import pandas as pd
-
-    def there_and_back(batches):
-        for pdf in batches:
-            out = []
-            for k, v in zip(pdf["vec_id"], pdf["embedding"], strict=True):
-                buffer = io.BytesIO()
-                with wave.open(buffer, "wb") as w:
-                    w.setnchannels(1)
-                    w.setsampwidth(2)
-                    w.setframerate(24_000)
-                    w.writeframes((np.clip(v, -1, 1) * 32767).astype("<i2").tobytes())
-                with wave.open(io.BytesIO(buffer.getvalue())) as w:
-                    x = np.frombuffer(w.readframes(w.getnframes()), "<i2") / 32768
-                out.append((k, len(x), float(np.abs(x).max())))
-            yield pd.DataFrame(out, columns=["vec_id", "n", "peak"])
-
-    return table(spark, sf, "embeddings").mapInPandas(there_and_back, "vec_id long, n long, peak double")
+    """Clips made of embeddings, written as WAV files and loaded from them."""
+    path = folder(spark)
+    files = W.wav(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    W.write_files(files.select(F.format_string("%d.wav", "vec_id").alias("name"), "content"), path)
+    clips = J.read_clips(spark, path)
+    peak = F.round(F.array_max(F.transform("samples", lambda x: F.abs(x.cast("double")))), 6)
+    return clips.select(F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long").alias("vec_id"), F.size("samples").alias("n"), peak.alias("peak"), "error")
 
 
 @query("io9_by_category", "SELECT lang AS cat, count(*)::BIGINT AS n FROM documents GROUP BY lang")
@@ -113,7 +98,9 @@ def io12_two_splits(spark, sf):
     return both.agg(F.count("*").alias("n")).crossJoin(docs(spark, sf).agg(F.count("*").alias("expected"))).withColumn("complete", F.col("n") == F.col("expected"))  # one row each
 
 
-query("io13_report")(lambda spark, sf: J.report(docs(spark, sf), "source", F.count("*").alias("n"), F.round(F.avg("n_chars"), 3).alias("chars"), F.slice(F.array_sort(F.collect_set("lang")), 1, 5).alias("langs")))
+REPORT = """WITH g AS (SELECT source, count(*) AS n, round(avg(n_chars), 3) AS chars, list_sort(list(DISTINCT lang))[1:5] AS langs FROM documents GROUP BY source)
+SELECT '{' || string_agg('"' || source || '":{"n":' || n || ',"chars":' || chars || ',"langs":["' || array_to_string(langs, '","') || '"]}', ',' ORDER BY source) || '}' AS report FROM g"""
+query("io13_report", REPORT)(lambda spark, sf: J.report(docs(spark, sf), "source", F.count("*").alias("n"), F.round(F.avg("n_chars"), 3).alias("chars"), F.slice(F.array_sort(F.collect_set("lang")), 1, 5).alias("langs")))
 query("io14_resume", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")(lambda spark, sf: J.unfinished(docs(spark, sf).select("doc_id"), table(spark, sf, "labels"), "doc_id"))
 query("io15_union_once", "SELECT doc_id, n_chars FROM documents")(lambda spark, sf: J.union_once([docs(spark, sf).where("doc_id % 3 = 0").select("doc_id", "n_chars"), docs(spark, sf).where("doc_id % 3 <> 0").select("doc_id", "n_chars")], "doc_id").select("doc_id", "n_chars"))
 
@@ -176,10 +163,19 @@ def bands(spark):
     return spark.createDataFrame([("low", 0, 4), ("mid", 4, 10), ("high", 10, 17)], "name string, lo int, hi int")
 
 
-query("ts13_average_spectrum")(lambda spark, sf: P.average_spectrum(bins(spark, sf)))
-query("ts14_band_report")(lambda spark, sf: P.band_report(P.average_spectrum(bins(spark, sf)), bands(spark)))
-query("ts15_band_shares")(lambda spark, sf: P.band_shares(bins(spark, sf), "vec_id", bands(spark)))
-query("ts16_line_level")(lambda spark, sf: bins(spark, sf).withColumn("db", 10 * F.log10(F.col("power") + 1e-12)).groupBy("vec_id").agg(P.line_level("db", "bin", (6, 8), (2, 14)).alias("level")))
+#: The transform as sums over samples: 32 wide, 16 on, with the same window.
+BINS = """f AS (SELECT vec_id, embedding, unnest(range(0, greatest((len(embedding) - 32) // 16, 0) + 1)) AS frame FROM embeddings),
+x AS (SELECT vec_id, frame, i, coalesce(embedding[frame * 16 + i + 1]::DOUBLE, 0.0) * (0.5 - 0.5 * cos(2 * pi() * i / 32)) AS x FROM (SELECT *, unnest(range(0, 32)) AS i FROM f)),
+p AS (SELECT vec_id, frame, b, sum(x * cos(2 * pi() * b * i / 32)) ** 2 + sum(x * sin(2 * pi() * b * i / 32)) ** 2 AS p FROM x, (SELECT unnest(range(0, 17)) AS b) GROUP BY ALL),
+bins AS (SELECT vec_id, b::INT AS bin, sum(p) AS power, count(*) AS frames FROM p GROUP BY ALL),
+bands AS (SELECT * FROM (VALUES ('low', 0, 4), ('mid', 4, 10), ('high', 10, 17)) t(name, lo, hi))"""
+MEAN = "spectrum AS (SELECT bin, 10 * log10(sum(power) / sum(frames) + 1e-12) AS db FROM bins GROUP BY bin)"
+
+
+query("ts13_average_spectrum", f"WITH {BINS}, {MEAN} SELECT bin, round(db, 4) AS db FROM spectrum")(lambda spark, sf: P.average_spectrum(bins(spark, sf)).withColumn("db", F.round("db", 4)))
+query("ts14_band_report", f"WITH {BINS}, {MEAN} SELECT name, round(avg(db), 4) AS mean_db, round(max(db) - avg(db), 4) AS largest_excess FROM spectrum JOIN bands ON bin >= lo AND bin < hi GROUP BY name")(lambda spark, sf: P.band_report(P.average_spectrum(bins(spark, sf)), bands(spark)))
+query("ts15_band_shares", f"WITH {BINS} SELECT vec_id, name, round(10 * log10(sum(power) / any_value(total) + 1e-12), 4) AS share_db FROM bins JOIN bands ON bin >= lo AND bin < hi JOIN (SELECT vec_id, sum(power) AS total FROM bins GROUP BY vec_id) USING (vec_id) GROUP BY vec_id, name")(lambda spark, sf: P.band_shares(bins(spark, sf), "vec_id", bands(spark)))
+query("ts16_line_level", f"WITH {BINS}, d AS (SELECT vec_id, bin, 10 * log10(power + 1e-12) AS db FROM bins) SELECT vec_id, round(max(db) FILTER (WHERE bin >= 6 AND bin < 8) - median(db) FILTER (WHERE bin >= 2 AND bin < 14), 4) AS level FROM d GROUP BY vec_id")(lambda spark, sf: bins(spark, sf).withColumn("db", 10 * F.log10(F.col("power") + 1e-12)).groupBy("vec_id").agg(P.line_level("db", "bin", (6, 8), (2, 14)).alias("level")))
 
 # streams: events stand in for the lines of metric logs
 
@@ -257,12 +253,14 @@ def st5_history(spark, sf):
     return bucket_points(rows, "step", 20, ["loss"], ["run"]).select("run", "bucket", "step", "loss")
 
 
-@query("st6_new_versions", "SELECT 'v' || source AS version FROM documents GROUP BY source")
+@query("st6_new_versions", r"SELECT DISTINCT format('{:08d}', regexp_extract(source, '(\d+)', 1)::INT) AS version FROM documents")
 def st6_new_versions(spark, sf):
-    """Each source's first arrival, once, from a stream of files."""
+    """Finished versions, one for each source, found once by a stream of markers, of which each version has two."""
     path, out = folder(spark), folder(spark)
-    docs(spark, sf).select(F.concat(F.lit("v"), F.col("source")).alias("version")).repartition(4).write.parquet(path)
-    stream = spark.readStream.schema("version string").parquet(path).dropDuplicates(["version"])
+    at = F.format_string("step-%08d", F.regexp_extract("source", r"(\d+)", 1).cast("int"))
+    marks = F.array(*(F.concat(at, F.lit(x)) for x in ("/all.done", "/again.done", ".partial/x.done")))
+    W.write_files(docs(spark, sf).select("source").distinct().select(F.explode(marks).alias("name"), F.lit("done").alias("content")), path)
+    stream = M.new_versions(spark, path)
     stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", folder(spark)).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("version string").parquet(out)
 

@@ -49,7 +49,7 @@ query("wn2_best_take", f"WITH {CHOSEN} SELECT id, cat, take, cer FROM c")(lambda
 query("wn3_borderline", f"WITH {CHOSEN} SELECT cat, id, take, margin, rank FROM (SELECT *, row_number() OVER (PARTITION BY cat ORDER BY margin, id)::INT AS rank FROM c WHERE take IS NOT NULL) WHERE rank <= 25")(lambda spark, sf: K.borderline(chosen(spark, sf)).select("cat", "id", "take", "margin", "rank"))
 
 
-@query("wn4_random_rest")
+@query("wn4_random_rest", f"WITH {CHOSEN}, nearest AS (SELECT *, row_number() OVER (PARTITION BY cat ORDER BY margin, id) AS near FROM c WHERE take IS NOT NULL) SELECT cat, id, take, rank FROM (SELECT *, row_number() OVER (PARTITION BY cat ORDER BY md5('0:' || id), id)::INT AS rank FROM nearest WHERE near > 25) WHERE rank <= 25")
 def wn4_random_rest(spark, sf):
     picked = chosen(spark, sf)
     return K.random_rest(picked, K.borderline(picked)).select("cat", "id", "take", "rank")

@@ -67,7 +67,12 @@ on_docs(
     n=lambda: T.early_stress(_stressed(F.col("text"))),
 )
 on_lines("sc19_token_ids", f"list_concat([0], flatten(list_transform(list_filter(string_split(text, ''), lambda s: s <> '' AND contains('{SYMBOLS}', s)), lambda s: [ascii(s) - 96, 0]))) AS ids", ids=lambda: T.token_ids("text", SYMBOLS))
-query("sc20_phoneme_words")(lambda spark, sf: table(spark, sf, "documents").select("doc_id", T.phoneme_words(_stressed(F.col("text"))).alias("words")))
+#: Each word's vowels, and the place of the first one behind a mark.
+PHONEME_VOWELS = "[aeiouyæøœɐɑɒɔəɛɜɪɯʊʌʏıöü]"
+PHONEME_WORDS = rf"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(lower(text), '([bcdfgklmnprst])([aeiou])', '\1''\2', 'g'), '\s+'), lambda x: x <> '') AS ws FROM documents),
+m AS (SELECT doc_id, list_transform(ws, lambda w: {{'w': w, 'at': instr(w, '''')}}) AS ws FROM w)
+SELECT doc_id, list_transform(ws, lambda x: {{'n_vowels': len(regexp_extract_all(x.w, '{PHONEME_VOWELS}'))::INT, 'stressed': CASE WHEN x.at > 0 AND regexp_matches(x.w[x.at + 1:], '{PHONEME_VOWELS}') THEN len(regexp_extract_all(x.w[1:x.at], '{PHONEME_VOWELS}')) ELSE -1 END::INT}}) AS words FROM m"""
+query("sc20_phoneme_words", PHONEME_WORDS)(lambda spark, sf: table(spark, sf, "documents").select("doc_id", T.phoneme_words(_stressed(F.col("text"))).alias("words")))
 query("sc21_semitones", "SELECT event_id, round(12 * log2(value / 100), 6) AS st FROM events WHERE value > 0")(lambda spark, sf: table(spark, sf, "events").where("value > 0").select("event_id", F.round(T.semitones("value", F.lit(100.0)), 6).alias("st")))
 on_docs("sc22_sha256", "sha256(text) AS sha", sha=lambda: F.sha2(F.encode("text", "UTF-8"), 256))
 on_lines("sc23_padded_id", "format('{}_{:05d}', src, seq) AS pid", pid=lambda: T.padded_id("src", "seq"))

@@ -10,9 +10,10 @@ from corpusloom.functions.text import squeezed
 SENTENCES = "cat string, text string, _corrupt string"
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines with text; src is the file's stem, blanks are squeezed."""
-    rows = spark.read.schema("text string").json(path).select(F.regexp_extract("_metadata.file_name", r"^(.*?)\.jsonl?$", 1).alias("src"), squeezed("text").alias("text"))
+def read_corpus(spark: SparkSession, path: str, label: str = r"([^/]+?)\.jsonl?$") -> DataFrame:
+    """JSON lines with text; src is what the pattern finds in the file's path, its stem by default; blanks are squeezed."""
+    rows = spark.read.schema("text string").option("recursiveFileLookup", "true").json(path)
+    rows = rows.select(F.regexp_extract("_metadata.file_path", label, 1).alias("src"), squeezed("text").alias("text"))
     return rows.where("text <> ''")
 
 

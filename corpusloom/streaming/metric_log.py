@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FILES = "path string, modificationTime timestamp, length long, content binary"
 METRIC = "run string, attempt int, step long, stage string, epoch int, wall_time double, loss double"
 
 
@@ -49,8 +50,8 @@ def follow(log: DataFrame, table_path: str, checkpoint: str):
 
 
 def new_versions(spark: SparkSession, path: str, pattern: str = r"step-(\d{8})") -> DataFrame:
-    """Each completed version once; names with .partial are no version."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.done").option("recursiveFileLookup", "true").load(path)
+    """Each completed version once, by its markers (not empty: Spark passes over empty files); names with .partial are no version."""
+    files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.done").option("recursiveFileLookup", "true").load(path)
     names = files.select(F.regexp_extract("path", pattern, 1).alias("version"), "path").where("version <> '' and path not like '%.partial%'")
     return names.dropDuplicates(["version"]).select("version")
 
