@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("text_scalars", "mining", "takes", "errors", "series", "rewriting", "stress", "records")
+MODULES: tuple[str, ...] = ("text_scalars", "mining", "takes", "errors", "series", "rewriting", "spoken", "stress", "records")
 
 
 def load() -> None:
