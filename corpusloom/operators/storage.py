@@ -5,19 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written below spark.checkpoint.dir and read again; a folder of our own where the setting is missing, as in tests."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, prefix: str = "t") -> str:
+    """A new folder below spark.checkpoint.dir. Where it is unset, a session on one machine gets a folder of its own; on a
+    cluster that is an error, as executors don't see the driver's disk."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = found.get() if found.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         base = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/k-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to a folder that all executors share and read again."""
+    path = shared_folder(df.sparkSession, "k")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

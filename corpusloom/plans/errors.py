@@ -126,7 +126,15 @@ def ea13_long_texts(spark, sf):
     return whole.select("conv_id", F.size(ref).alias("words"), F.round(A.word_distance(ref, hyp) / F.greatest(F.size(ref), F.lit(1)), 6).alias("wer"))
 
 
-@query("ea14_changed_runs")
+#: Numbers become words in place, so words keep their places and runs are islands of changed ones.
+RUNS_SQL = rf"""WITH {LINES}, w AS (SELECT id, seq, unnest(range(1, len(a) + 1)) AS i, a, b FROM (SELECT id, seq, {{0}} AS a, {{1}} AS b FROM lines WHERE regexp_matches(text, '\d'))),
+c AS (SELECT id, seq, i, a[i] AS x, b[i] AS y, i - row_number() OVER (PARTITION BY id, seq ORDER BY i) AS island FROM w WHERE a[i] <> b[i]),
+r AS (SELECT id, seq, min(i) AS place, string_agg(x, ' ' ORDER BY i) AS before, string_agg(y, ' ' ORDER BY i) AS after FROM c GROUP BY id, seq, island)
+SELECT id, seq, list({{{{'before': before, 'after': after}}}} ORDER BY place) AS runs FROM r GROUP BY id, seq"""
+_SPLIT = "list_filter(string_split_regex({}, '\\s+'), lambda x: x <> '')"
+
+
+@query("ea14_changed_runs", RUNS_SQL.format(_SPLIT.format("text"), _SPLIT.format("regexp_replace(text, '\\d+', 'number', 'g')")))
 def ea14_changed_runs(spark, sf):
     rows = lines(spark, sf).withColumn("after", F.regexp_replace("text", r"\d+", "number"))
     return rows.where("text <> after").select("id", "seq", A.changed_runs("text", "after").alias("runs"))

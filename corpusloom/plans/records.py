@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,7 +10,7 @@ from corpusloom.functions import frontend as FR
 from corpusloom.functions import text as T
 from corpusloom.operators import batching as B
 from corpusloom.operators import spectra as P
-from corpusloom.operators.storage import kept
+from corpusloom.operators.storage import kept, shared_folder
 from corpusloom.plans.base import lines, table, with_lines
 from corpusloom.sources import files as W
 from corpusloom.sources import jsonl as J
@@ -22,9 +19,7 @@ from corpusloom.streaming import restarts as R
 
 
 def folder(spark):
-    """A new folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='corpusloom-')).rstrip('/')}/r-{uuid.uuid4().hex}"
+    return shared_folder(spark, "r")
 
 
 def docs(spark, sf):
