@@ -18,6 +18,7 @@ ORDER = ("src", "id", "seq")
 class MiningRules:
     """What a mined sentence must be; language tables are parameters."""
 
+    # fixed values: limits, patterns and letters that must match
     words: tuple[int, int] = (3, 25)
     forbidden: str = r"[\d@/\\_#*<>{}\[\]|=+]|http|www|[а-яА-Я]"
     odd_start: str = "w"

@@ -59,3 +59,13 @@ FOREIGN_WORDS = {
 # fixed values: nouns before which a lone letter is a numeral, and words that begin a new part of a long sentence
 ROMAN_NOUNS = ("əsr", "sinif", "kurs", "hissə", "fəsil", "bölmə", "cild", "maddə", "dərəcə", "qrup", "rüb", "yarımil", "mərtəbə")
 CONJUNCTIONS = ("və", "amma", "ancaq", "lakin", "çünki", "ki", "ya", "yaxud", "ona görə", "buna görə", "həmçinin", "yəni")
+
+# fixed values: patterns of written forms that must match as they are
+PHONE_ABROAD, PHONE = r"\+\d[\d\s\-()]{7,}\d", r"\(?0\d{2}\)?[\s-]?\d{3}[\s-]?\d{2}[\s-]?\d{2}"
+GROUPED = r"[1-9]\d{0,2}(?:(?:[ \xa0]\d{3})+(?!\d)|(?:\.\d{3})+(?!\d|\.\d)|(?:,\d{3}){2,}(?!\d|,\d))"
+DATE_ISO, DATE_DMY = r"(\d{4})-(\d{2})-(\d{2})(?!\d)", r"(\d{1,2})(?<sep>[./-])(\d{1,2})\k<sep>(\d{4}|\d{2})(?!\d|[./]\d)"
+DATE_DM, DAY_PADDED = r"(\d{1,2})/(0[1-9])(?![\d/])", r"0\d"
+YEAR_FORMS = "(?:in|də|dən|i|ə)?"
+AMOUNT_SCALES = r"(?:mln|mlrd|trln|milyon|milyard|trilyon|min)\.?"
+ROMAN_NUMERAL = "^(?:[IVX]|(?=[IVXL]{2,})(?:XL|L?X{0,4})(?:IX|IV|V?I{0,3}))$"
+FRACTION = r"(\d+)/(\d+)(?![\d/]|[.,]\d)"
