@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.store import Memo, in_batches, read
 
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 150_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 

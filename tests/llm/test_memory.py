@@ -6,6 +6,7 @@ from pathlib import Path
 import pyarrow as pa
 import pytest
 
+from corpusloom.llm import byte_bpe
 from corpusloom.llm.store import trimmed
 
 
@@ -13,6 +14,13 @@ def anonymous_mb() -> float:
     return int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
 
 
+def test_long_pre_tokens_are_not_kept():
+    bpe = byte_bpe.tokenizer()
+    text = " ".join(chr(97 + i % 26) * 5000 + chr(97 + i // 26) for i in range(100))
+    assert bpe.decode(bpe.encode(text)).decode() == text
+    assert max(map(len, [*bpe.memo, *bpe.memo.old]), default=0) <= bpe.memo.LONGEST
+
+
 @pytest.mark.parametrize("grouped", [False, True])
 def test_memory_goes_back_after_a_task(grouped):
     kept = []
