@@ -117,7 +117,8 @@ def _bodies(images: list[bytes]) -> list[bytes]:
     start, image = np.r_[0, np.cumsum(size)], np.repeat(np.arange(len(images)), size)
     # what the cache holds before each pixel: the last one with its key
     key = (webp.CACHE_FACTOR * argb & 0xFFFFFFFF) >> (32 - CACHE_BITS)
-    order = np.argsort(image << CACHE_BITS | key, kind="stable")
+    by = image << CACHE_BITS | key
+    order = np.argsort(by.astype(np.uint16) if len(images) << CACHE_BITS <= 1 << 16 else by, kind="stable")  # numbers of 16 bits are sorted by radix
     own, last = order[1:], order[:-1]
     held = np.zeros(len(argb), bool)
     held[own] = (image[own] == image[last]) & (argb[own] == argb[last])

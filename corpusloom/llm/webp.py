@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import struct
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 
@@ -28,6 +29,12 @@ def near_distances() -> list[tuple[int, int]]:
     return sorted(found, key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), -p[0]))
 
 
+@lru_cache(maxsize=64)
+def _near(width: int) -> np.ndarray:
+    """The distances in pixels of the short ones, in images of this width."""
+    return np.array([max(1, x + y * width) for x, y in near_distances()])
+
+
 class Bits:
     def __init__(self, data: bytes, at: int = 0):
         self.data, self.at = data, at
@@ -265,6 +272,7 @@ def read_literals(data: bytes, at: int, n: int, codes: list[Prefix]) -> tuple[np
 
 #: The first value (less one) and the number of further bits of each prefix code of a length or distance.
 _MORE = np.array([0 if c < 4 else (c - 2) >> 1 for c in range(40)])
+_EIGHT = np.arange(8)
 _BASE = np.array([c if c < 4 else (2 + (c & 1)) << ((c - 2) >> 1) for c in range(40)])
 
 
@@ -279,39 +287,40 @@ def read_tokens(data: bytes, at: int, n: int, codes: list[Prefix]) -> tuple[np.n
         size = min(WINDOW, len(data) - first)
         if size <= 0:
             raise ValueError("the image ends early")
-        raw = np.frombuffer(data[first : first + size + 16] + bytes(12), np.uint8).astype(np.uint32)
+        raw = np.frombuffer(data[first : first + size + 16] + bytes(12), np.uint8).astype(np.int64)  # places are taken as they are, not cast for each table
         v = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
-        w = (v[: size + 8, None] >> np.arange(8, dtype=np.uint32)).ravel()
+        w = (v[: size + 8, None] >> _EIGHT).ravel()
         limit, end = size * 8, len(w) - 1
-        place = np.arange(end + 1, dtype=np.int32)
+        place = np.arange(end + 1)
         slot = w & green.mask
-        symbol = green.symbol[slot]
-        after = np.minimum(place + green.length[slot], end)
-        ahead = after.copy()  # a place in the cache is its green symbol alone
+        symbol = green.symbol.take(slot)
+        after = place + green.length.take(slot)
+        after[-16:] = np.minimum(after[-16:], end)
         lit = symbol < 256
         if red is blue is alpha:
-            step = np.minimum(place + red.length[w & red.mask], end)
-            np.copyto(ahead, step[step[step[after]]], where=lit)
+            step = place + red.length.take(w & red.mask)
+            step[-16:] = np.minimum(step[-16:], end)
+            to = step.take(step.take(step.take(after)))
         else:
             to = after
             for c in (red, blue, alpha):
-                to = np.minimum(to + c.length[w[to] & c.mask], end) if c.width else to
-            np.copyto(ahead, to, where=lit)
+                to = np.minimum(to + c.length.take(w.take(to) & c.mask), end) if c.width else to
+        ahead = np.where(lit, to, after)  # a place in the cache is its green symbol alone
         copy = np.flatnonzero((symbol >= 256) & (symbol < 280))
         to = np.minimum(after[copy] + _MORE[symbol[copy] - 256], end)
         code = far.symbol[w[to] & far.mask]
         ahead[copy] = np.minimum(to + far.length[w[to] & far.mask] + _MORE[code], end)
-        two = ahead[ahead]
-        four = two[two]
-        eight = memoryview(four[four])
+        two = ahead.take(ahead)
+        four = two.take(two)
+        eight = memoryview(four.take(four))
         p, starts, most = at & 7, [], -(-n // 8)
         while p < limit and len(starts) < most:
             starts.append(p)
             p = eight[p]
-        grid = np.empty((len(starts), 8), np.int32)
+        grid = np.empty((len(starts), 8), np.int64)
         grid[:, 0] = starts
         for k in range(1, 8):
-            grid[:, k] = ahead[grid[:, k - 1]]
+            grid[:, k] = ahead.take(grid[:, k - 1])
         here = grid.ravel()
         here = here[: np.searchsorted(here, limit)]
         token = np.zeros((len(here), 3), np.int64)
@@ -365,7 +374,7 @@ def resolved(tokens: np.ndarray, total: int, width: int, cache_bits: int) -> np.
     lit, cached, copy = np.flatnonzero(s < 256), np.flatnonzero(s >= 280), np.flatnonzero(is_copy)
     argb[start[lit]] = value[lit]
     if len(copy):
-        near = np.array([max(1, x + y * width) for x, y in near_distances()])
+        near = _near(width)
         d = tokens[copy, 2]
         d = np.where(d > 120, d - 120, near[np.minimum(d, 120) - 1])
         if (d > start[copy]).any():
@@ -377,7 +386,7 @@ def resolved(tokens: np.ndarray, total: int, width: int, cache_bits: int) -> np.
         root = _roots(to)[:total]
         key = (CACHE_FACTOR * argb & 0xFFFFFFFF) >> (32 - cache_bits)
         key[start[cached]] = s[cached] - 280
-        key = key[root]
+        key = key[root].astype(np.uint16)  # numbers of 16 bits are sorted by radix
         order = np.argsort(key, kind="stable")
         before = np.full(total, total)
         same = key[order[1:]] == key[order[:-1]]
@@ -524,14 +533,18 @@ def code_lengths(counts: np.ndarray, limit: int = 15) -> np.ndarray:
         lengths[used] = 1
         return lengths
     while True:
-        heap = [(int(counts[s]), int(s), (int(s),)) for s in used]
+        heap = list(zip(counts[used].tolist(), used.tolist(), range(len(used)), strict=True))  # count, least symbol, node
         heapq.heapify(heap)
-        lengths[:] = 0
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                lengths[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
+        above = [0] * (2 * len(used) - 1)
+        for node in range(len(used), len(above)):
+            a = heapq.heappop(heap)
+            b = heap[0]
+            above[a[2]] = above[b[2]] = node
+            heapq.heapreplace(heap, (a[0] + b[0], min(a[1], b[1]), node))
+        depth = [0] * len(above)
+        for node in range(len(above) - 2, -1, -1):
+            depth[node] = depth[above[node]] + 1
+        lengths[used] = depth[: len(used)]
         if lengths.max() <= limit:
             return lengths
         counts = np.where(counts > 0, (counts + 1) // 2, 0)
@@ -547,22 +560,21 @@ def write_prefix(out: Writer, lengths: np.ndarray) -> None:
         for s in used:
             out.put(s, 8)
         return
-    tokens, i = [], 0
-    while i < len(lengths):
-        run = 1
-        while i + run < len(lengths) and lengths[i + run] == lengths[i]:
-            run += 1
-        if lengths[i] == 0 and run >= 3:
-            n = min(run, 138)
-            tokens.append((18, n - 11, 7) if n >= 11 else (17, n - 3, 3))
-            i += n
-        elif run >= 4:
-            n = min(run - 1, 6)
-            tokens += [(int(lengths[i]), 0, 0), (16, n - 3, 2)]
-            i += n + 1
-        else:
-            tokens.append((int(lengths[i]), 0, 0))
-            i += 1
+    tokens = []
+    for length, same in groupby(lengths):
+        run = sum(1 for _ in same)
+        while run:
+            if length == 0 and run >= 3:
+                n = min(run, 138)
+                tokens.append((18, n - 11, 7) if n >= 11 else (17, n - 3, 3))
+                run -= n
+            elif run >= 4:
+                n = min(run - 1, 6)
+                tokens += [(length, 0, 0), (16, n - 3, 2)]
+                run -= n + 1
+            else:
+                tokens.append((length, 0, 0))
+                run -= 1
     of = code_lengths(np.bincount([t[0] for t in tokens], minlength=19), 7)
     if np.count_nonzero(of) == 1:  # a lone length still needs a complete code
         of[np.flatnonzero(of == 0)[0]] = 1

@@ -3,10 +3,11 @@
 import re
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from corpusloom.llm import byte_bpe
+from corpusloom.llm import byte_bpe, webp
 from corpusloom.llm.store import trimmed
 
 
@@ -38,3 +39,13 @@ def test_memory_goes_back_after_a_task(grouped):
     before = anonymous_mb()
     out = trimmed(work)(table) if grouped else list(trimmed(batches)([table]))[0]
     assert out.equals(table) and anonymous_mb() < before + 50
+
+
+def test_code_lengths_of_many_symbols_take_no_copies(monkeypatch):
+    """The nodes that are merged are numbers: lists of all symbols below them would grow with each merge."""
+    pushed = []
+    for name in ("heappush", "heapreplace"):
+        monkeypatch.setattr(webp.heapq, name, lambda heap, x, f=getattr(webp.heapq, name): (pushed.append(x), f(heap, x))[1])
+    lengths = webp.code_lengths(np.arange(1, 257))
+    assert (2.0 ** -lengths).sum() == 1 and (np.diff(lengths) <= 0).all()
+    assert len(pushed) == 255 and all(isinstance(n, int) for x in pushed for n in x)
