@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.shingles import mixed
-from corpusloom.llm.store import cut_points, forget, in_batches, range_bits, read, release, shared_dir, union_all, written
+from corpusloom.llm.store import cut_points, forget, in_batches, range_bits, read, release, shared_dir, trimmed, union_all, written
 
 LENGTH, SUFFIX = 50, 12
 BATCHES = 4
@@ -227,7 +227,7 @@ def batch_entries(docs: DataFrame, bits: int, length: int, hot) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(flush(held), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["kind", "p", "block"])
 
     _small_batches(docs.sparkSession)
-    return docs.select("doc_id", "tag", "text").mapInArrow(run, ROWS)
+    return docs.select("doc_id", "tag", "text").mapInArrow(trimmed(run), ROWS)
 
 
 def _parts(texts: list[bytes], most: int = 1 << 19):
@@ -294,7 +294,7 @@ def merge_scan(blocks: DataFrame, merge: list[int], last: bool, bits: int) -> Da
                     out.append((ARRAY, int(p[0]), _planes(rows[keep])))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)] if out else [pa.array([], t) for t in (pa.int32(), pa.int32(), pa.binary())], names=["kind", "p", "block"])
 
-    return blocks.groupBy("p").applyInArrow(run, ROWS)
+    return blocks.groupBy("p").applyInArrow(trimmed(run), ROWS)
 
 
 def by_bucket(marks: DataFrame, buckets: int) -> DataFrame:
@@ -324,7 +324,7 @@ def by_bucket(marks: DataFrame, buckets: int) -> DataFrame:
         if size:
             yield packed(held)
 
-    return marks.mapInArrow(pack, ROWS)
+    return marks.mapInArrow(trimmed(pack), ROWS)
 
 
 def per_document(marks: DataFrame) -> DataFrame:
@@ -343,7 +343,7 @@ def per_document(marks: DataFrame) -> DataFrame:
         binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(rows[:, 11:].tobytes())]).cast(pa.binary())
         return pa.table([pa.array(rows[at, 0].astype(np.int32)), pa.array(doc), pa.array(_number(rows[at], 9, 11).astype(np.int32)), binary], names=["kind", "doc_id", "tag", "places"])
 
-    return marks.groupBy("p").applyInArrow(run, "kind int, doc_id long, tag int, places binary")
+    return marks.groupBy("p").applyInArrow(trimmed(run), "kind int, doc_id long, tag int, places binary")
 
 
 class SuffixIndex:
@@ -428,7 +428,7 @@ def window_matches(docs: DataFrame, asked: DataFrame, bits: int, length: int) ->
         first = pdf["first"].to_numpy()
         return pd.DataFrame({"doc_id": doc[rows[a]], "tag": pdf["tag"].to_numpy()[rows[a]], "start": first[rows[a]] + inner[a], "stop": first[rows[a]] + inner[z] + length})
 
-    found = segments.groupBy("p").applyInPandas(compare, "doc_id long, tag int, start long, stop long")
+    found = segments.groupBy("p").applyInPandas(trimmed(compare), "doc_id long, tag int, start long, stop long")
     if not asked.where(F.col("kind") == HOT).isEmpty():
         found = found.unionByName(written(hot_matches(warm, length)))
     return found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))

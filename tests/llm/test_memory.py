@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from corpusloom.llm import byte_bpe, webp
+from corpusloom.llm import byte_bpe, substring_dedup, webp
 from corpusloom.llm.store import trimmed
 
 
@@ -49,3 +49,21 @@ def test_code_lengths_of_many_symbols_take_no_copies(monkeypatch):
     lengths = webp.code_lengths(np.arange(1, 257))
     assert (2.0 ** -lengths).sum() == 1 and (np.diff(lengths) <= 0).all()
     assert len(pushed) == 255 and all(isinstance(n, int) for x in pushed for n in x)
+
+
+def test_suffix_dedup_tasks_give_memory_back():
+    given = []
+
+    class Frame:
+        def groupBy(self, *_):
+            return self
+
+        def applyInArrow(self, function, schema):
+            given.append(function)
+
+        mapInArrow = applyInArrow
+
+    substring_dedup.merge_scan(Frame(), [], True, 4)
+    substring_dedup.by_bucket(Frame(), 4)
+    substring_dedup.per_document(Frame())
+    assert len(given) == 3 and all(f.__name__ == "run" or f.__name__ == "pack" for f in given) and all(hasattr(f, "__wrapped__") for f in given)
