@@ -4,8 +4,10 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.operators import alignment as A
+from corpusloom.plans import errors
 
 
 def pairs(seed, n=200):
@@ -42,3 +44,10 @@ def test_letters_are_counted_by_batch_without_a_table_for_each_pair(spark, monke
     monkeypatch.setattr(A, "alignment", lambda *a: 1 / 0)
     long = "the whole line " * 2000
     assert [len(x) for x in A.align.func(pa.array([list(long)]), pa.array([list(long.replace("e", "0"))])).to_pylist()] == [30_000]
+
+
+def test_a_table_in_one_part_is_dealt_over_the_cores(spark, tmp_path):
+    path = f"{tmp_path}/documents.parquet"
+    spark.range(100).selectExpr("id doc_id", "'a b. c' text", "'s' source").coalesce(1).write.parquet(path)
+    parts = errors.transcripts(spark, str(tmp_path)).rdd.getNumPartitions()
+    assert parts >= spark.sparkContext.defaultParallelism
