@@ -51,3 +51,9 @@ def test_a_table_in_one_part_is_dealt_over_the_cores(spark, tmp_path):
     spark.range(100).selectExpr("id doc_id", "'a b. c' text", "'s' source").coalesce(1).write.parquet(path)
     parts = errors.transcripts(spark, str(tmp_path)).rdd.getNumPartitions()
     assert parts >= spark.sparkContext.defaultParallelism
+
+
+def test_confusions_of_counted_letters(spark):
+    rows = spark.createDataFrame([("m", "aab", "a0b")] * 3 + [("m", "abc", "ab"), ("m", "c", "a")], "version string, text string, hyp string")
+    got = [(r.swap, r.n, r.rank) for r in A.confusions(A.letter_operations(rows), 2).orderBy("rank").collect()]
+    assert got == [("a>0", 3, 1), ("c>a", 1, 2)]
