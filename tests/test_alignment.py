@@ -57,3 +57,17 @@ def test_confusions_of_counted_letters(spark):
     rows = spark.createDataFrame([("m", "aab", "a0b")] * 3 + [("m", "abc", "ab"), ("m", "c", "a")], "version string, text string, hyp string")
     got = [(r.swap, r.n, r.rank) for r in A.confusions(A.letter_operations(rows), 2).orderBy("rank").collect()]
     assert got == [("a>0", 3, 1), ("c>a", 1, 2)]
+
+
+TOLD = [(1, "m", "one two three four", "one 0 three 00"), (1, "b", "one two three four", "0 two three 00"), (2, "m", "two", "0"), (2, "b", "two", "two"), (3, "m", "a b c", "a x b c"), (4, "m", "", "a")]
+
+
+def told(spark):
+    return A.aligned(spark.createDataFrame(TOLD, "row_id long, version string, text string, hyp string"))
+
+
+def test_places_are_summed_without_a_row_for_each_word(spark):
+    out = A.position_errors(told(spark))
+    assert {(r.version, r.place): (r.rate, r.n) for r in out.collect()} == {("m", "first"): (0.333333, 3), ("m", "middle"): (0.333333, 3), ("m", "last"): (0.5, 2), ("b", "first"): (0.5, 2), ("b", "middle"): (0.0, 2), ("b", "last"): (1.0, 1)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "explode" not in plan
