@@ -71,3 +71,9 @@ def test_places_are_summed_without_a_row_for_each_word(spark):
     assert {(r.version, r.place): (r.rate, r.n) for r in out.collect()} == {("m", "first"): (0.333333, 3), ("m", "middle"): (0.333333, 3), ("m", "last"): (0.5, 2), ("b", "first"): (0.5, 2), ("b", "middle"): (0.0, 2), ("b", "last"): (1.0, 1)}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "explode" not in plan
+
+
+def test_words_that_only_the_model_misses(spark):
+    out = A.model_only(told(spark), "m", "b")
+    assert [(r.ref, r.n, r.heard_as) for r in out.collect()] == [("two", 2, "0")]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()  # the versions of a row meet in one pass
