@@ -77,3 +77,11 @@ def test_words_that_only_the_model_misses(spark):
     out = A.model_only(told(spark), "m", "b")
     assert [(r.ref, r.n, r.heard_as) for r in out.collect()] == [("two", 2, "0")]
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()  # the versions of a row meet in one pass
+
+
+def test_scores_of_long_rows(spark):
+    long = "the whole line " * 1500
+    rows = spark.createDataFrame([("a", long, long.replace("e", "0")), ("b", "kitten", "sitting"), ("c", None, "x"), ("d", "one two", "")], "version string, text string, hyp string")
+    got = {r.version: (r.words, r.wrong, r.letters, r.wrong_letters, r.broken) for r in A.scored(rows).collect()}
+    wrong = long.count("e")
+    assert {k: got[k] for k in "abd"} == {"a": (4500, 4500, 18_000, wrong, True), "b": (1, 1, 6, 3, True), "d": (2, 2, 6, 6, True)}
