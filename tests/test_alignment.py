@@ -85,3 +85,14 @@ def test_scores_of_long_rows(spark):
     got = {r.version: (r.words, r.wrong, r.letters, r.wrong_letters, r.broken) for r in A.scored(rows).collect()}
     wrong = long.count("e")
     assert {k: got[k] for k in "abd"} == {"a": (4500, 4500, 18_000, wrong, True), "b": (1, 1, 6, 3, True), "d": (2, 2, 6, 6, True)}
+
+
+@pytest.mark.parametrize("most", [0, 20, 1 << 14])
+def test_distances_of_letters(spark, monkeypatch, most):
+    monkeypatch.setattr(A, "MOST_CELLS", most)
+    of = [tuple(None if x is None else "".join(x) for x in p) for p in pairs(7)]
+    want = [None if None in p else A.distance(*map(list, p)) for p in of]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(of)], "i int, text string, hyp string").coalesce(1)
+    assert [r.d for r in rows.select("i", A.letter_distance(F.col("text"), F.col("hyp")).alias("d")).orderBy("i").collect()] == want
+    known = A.Pairs(*(pa.array(x, pa.string()) for x in zip(*of, strict=True))).distances(most).to_pylist()
+    assert all(k in (None, w) for k, w in zip(known, want, strict=True)) and (most or known == want)
