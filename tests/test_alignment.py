@@ -96,3 +96,13 @@ def test_distances_of_letters(spark, monkeypatch, most):
     assert [r.d for r in rows.select("i", A.letter_distance(F.col("text"), F.col("hyp")).alias("d")).orderBy("i").collect()] == want
     known = A.Pairs(*(pa.array(x, pa.string()) for x in zip(*of, strict=True))).distances(most).to_pylist()
     assert all(k in (None, w) for k, w in zip(known, want, strict=True)) and (most or known == want)
+
+
+def test_operations_keep_rows_versions_and_places(spark):
+    rows = spark.createDataFrame(TOLD, "row_id long, version string, text string, hyp string")
+    got = [(r.pos, r.op, r.ref, r.hyp) for r in A.operations(rows).where("row_id = 3").orderBy("pos").collect()]
+    assert got == [(0, "ok", "a", "a"), (1, "ins", None, "x"), (2, "ok", "b", "b"), (3, "ok", "c", "c")]
+    assert A.operations(rows.where("row_id = 4")).select("op").first()[0] == "ins"
+    import inspect
+
+    assert "letters" not in inspect.signature(A.operations).parameters  # letters are counted, not listed
