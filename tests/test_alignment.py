@@ -106,3 +106,8 @@ def test_operations_keep_rows_versions_and_places(spark):
     import inspect
 
     assert "letters" not in inspect.signature(A.operations).parameters  # letters are counted, not listed
+
+
+def test_word_distances_of_a_batch():
+    of = pairs(11)
+    assert A.word_distance.func(*listed(of)).to_pylist() == [None if None in p else A.distance(*p) for p in of]
