@@ -145,7 +145,8 @@ def near_pairs(known: DataFrame, symbols: int = SYMBOLS, bits: int = MAP_BITS) -
                         yield [words.take(of), n.take(of), pa.array(code[there].view(np.int64))]
 
     asked = in_batches(known.select("word", "n"), run, "word string, n long, code long", 10_000)
-    found = asked.join(known.select("code", F.col("word").alias("near"), F.col("n").alias("near_n")), "code").where(F.levenshtein("word", "near", 1) == 1)
+    # the neighbours are many times the vocabulary, by whose size Spark would judge them: a merge, so that they are never broadcast
+    found = asked.hint("merge").join(known.select("code", F.col("word").alias("near"), F.col("n").alias("near_n")), "code").where(F.levenshtein("word", "near", 1) == 1)
     return found.select("word", "n", "near", "near_n").dropDuplicates(["word", "near"])
 
 
