@@ -9,6 +9,7 @@ from corpusloom.catalog import query
 from corpusloom.functions import text as T
 from corpusloom.operators import mining as M
 from corpusloom.operators import selection as Q
+from corpusloom.operators.storage import kept
 from corpusloom.plans.base import LINES, W, lines, sql_loose_key, sql_n_words, sql_words, table, with_lines
 from corpusloom.plans.text_scalars import BIN, PARTICLES, QUESTION_WORDS, TYPE, VOWEL_COUNT
 
@@ -176,7 +177,8 @@ def ag3_file_report(spark, sf):
 
 @query("ag4_composition", f"WITH {LINES}, x AS (SELECT {TYPE} AS kind, {BIN} AS bin, {SECONDS} AS s FROM lines) SELECT kind, bin, count(*)::BIGINT AS n, round(count(*) / (sum(count(*)) OVER ())::DOUBLE, 6) AS share, round(sum(s) / 3600, 6) AS hours, round(median(s), 6) AS s50, round(quantile_cont(s, 0.9), 6) AS s90 FROM x GROUP BY kind, bin")
 def ag4_composition(spark, sf):
-    rows = lines(spark, sf).select(T.sentence_type("text").alias("kind"), T.length_bin("text").alias("bin"), T.speech_seconds("text").alias("s"))
+    measured = lines(spark, sf, dealt=True).select(T.sentence_type("text").alias("kind"), T.length_bin("text").alias("bin"), T.speech_seconds("text").alias("s"))
+    rows = kept(measured)  # read three times, and measured once
     by = Q.selected(rows, ["kind", "bin"], {"s50": Q.Place(F.col("s"), 0.5), "s90": Q.Place(F.col("s"), 0.9)}, {"n": F.count("*"), "hours": F.round(F.sum("s") / 3600, 6)})
     by = by.withColumns({k: F.round(k, 6) for k in ("s50", "s90")})
     return by.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))  # over a dozen groups
